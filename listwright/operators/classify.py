@@ -280,7 +280,7 @@ def assess_eligibility(df: DataFrame, rules: RuleSet) -> DataFrame:
 
     ``stop`` names the deciding rule. Needs the text, hit, scope and programme columns.
     """
-    organisation = C("organisation_type")
+    organisation = C("raw_organisation_type")
     unpaid, paid = C("paid").eqNullSafe(F.lit(False)), C("paid").eqNullSafe(F.lit(True))
     padded_all = text.padded(C("n_all"))
     stage_hit = lambda terms: any_hit(C("hits_stage"), terms)
@@ -461,7 +461,7 @@ def assess_relevance(df: DataFrame, rules: RuleSet) -> DataFrame:
     excluded = F.try_element_at(
         F.create_map(*[F.lit(x) for kv in spelling.items() for x in kv]), first_hit(C("hits_text"), negatives)
     ) if spelling else F.lit(None).cast("string")
-    controlled = C("organisation_type").isin(*rules.controlled_types)
+    controlled = C("raw_organisation_type").isin(*rules.controlled_types)
     approved = C("src.priority_tier").isin(*rules.approved_tiers)
     total = lambda table: sum((hit(terms).cast("int") for terms in table.values()), F.lit(0))
     in_category = C("primary_category") != OTHER
@@ -473,7 +473,7 @@ def assess_relevance(df: DataFrame, rules: RuleSet) -> DataFrame:
         }
     )
     blocked = C("excluded_term").isNotNull() | (controlled & ~F.coalesce(approved, F.lit(False)))
-    unselective = C("organisation_type").isin(*rules.selective_types) & ~hit(rules.selectivity_terms)
+    unselective = C("raw_organisation_type").isin(*rules.selective_types) & ~hit(rules.selectivity_terms)
     status = (
         F.when(blocked, "irrelevant")
         .when(unselective, "borderline_relevance")
