@@ -80,7 +80,6 @@ def check_coverage(verified: DataFrame, possible: DataFrame, index: DataFrame, k
 
 def check_leaks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Secrets and contact addresses in text columns: ``(key, rule)``."""
-    found = F.lit(None)
     parts = []
     for name in columns:
         parts.append(text.secret_labels(C(name)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +49,13 @@ def write_state(df: DataFrame, root: str, name: str, scan_id: str) -> bool:
     The data folder is complete before the pointer names it, so a lost job leaves the old version.
     """
     spark = df.sparkSession
-    version = f"scan_id={scan_id}"
+    # A retried scan writes a folder of its own; only the pointer decides what is current.
+    version = f"scan_id={scan_id}-{uuid.uuid4().hex[:8]}"
     current = current_version(spark, root, name)
     path = f"{root}/{name}/{version}"
     if current is not None:
         stored = spark.read.schema(df.schema).parquet(f"{root}/{name}/{current}")
-        if current == version or fingerprint(stored) == fingerprint(df):
+        if fingerprint(stored) == fingerprint(df):
             return False
     df.write.mode("errorifexists").parquet(path)
     seq = 0
