@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -67,35 +67,25 @@ def deduplicated_observations(observations: DataFrame, late: str = "90 days") ->
 
 # --- absence closure ------------------------------------------------------------------------
 
-ABSENCE_STATE = "last_seen long, missing long, closed boolean"
-ABSENCE_OUT = "entity string, scan_no long, missing long, status string"
-
-
-def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Signals of one entity in scan order: seen resets the counter, three safe absences close."""
-    last, missing, closed = state.get if state.exists else (0, 0, False)
-    rows = pd.concat(list(batches)).sort_values("scan_no")
-    for scan_no, seen, absent in rows[["scan_no", "seen", "absent"]].itertuples(index=False):
-        if seen:
-            last, missing, closed = int(scan_no), 0, False
-        elif not closed:
-            missing += int(absent)
-            closed = missing >= 3
-    state.update((int(last), int(missing), bool(closed)))
-    status = "closed" if closed else "missing" if missing else "open"
-    yield pd.DataFrame(
-        [(key[0], int(rows["scan_no"].max()), missing, status)], columns=["entity", "scan_no", "missing", "status"]
-    )
+
+def sightings_stream(sightings: DataFrame) -> DataFrame:
+    """Last safe scan in which each entity was seen, from ``(entity, n)``: a map-side combined max."""
+    return sightings.groupBy("entity").agg(F.max("n").alias("last_n"))
 
 
-def absence_stream(signals: DataFrame) -> DataFrame:
-    """Latest status per entity from ``(entity, scan_no, seen, absent)`` signals.
+def absence_status(last_seen: DataFrame, safe_scans: DataFrame, limit: int = 3) -> DataFrame:
+    """Status per entity against the safe scans so far.
 
-    A signal is either a sighting or a count of safe scans that did not show the entity; unsafe
-    scans produce none.
+    Absence changes with every scan but needs no update of the absent entities: it is the number of
+    safe scans after the last sighting, and unsafe scans are not in the table at all.
     """
-    return signals.groupBy("entity").applyInPandasWithState(
-        _track, ABSENCE_OUT, ABSENCE_STATE, "update", GroupStateTimeout.NoTimeout
+    total = safe_scans.agg(F.max("n").alias("_total"))
+    missing = C("_total") - C("last_n")
+    return last_seen.crossJoin(F.broadcast(total)).select(
+        "entity",
+        "last_n",
+        missing.alias("missing"),
+        F.when(missing >= limit, "closed").when(missing > 0, "missing").otherwise("open").alias("status"),
     )
 
 
@@ -140,10 +130,11 @@ def first_last_stream(events: DataFrame, key: str, at: str) -> DataFrame:
     return events.groupBy(key).agg(F.min(at).alias("first_seen_at"), F.max(at).alias("last_seen_at"))
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, columns: Column | str) -> DataFrame:
-    """Stream over one table file of a folder."""
+def file_stream(spark: SparkSession, folder: str, name: str, columns: str, files: int = 64) -> DataFrame:
+    """Stream over one table's files in a folder; ``files`` bounds a micro-batch."""
     return (
         spark.readStream.schema(columns)
+        .option("maxFilesPerTrigger", files)
         .option("pathGlobFilter", f"{name}.parquet")
         .parquet(folder)
     )
