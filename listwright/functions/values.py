@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -46,7 +47,7 @@ BRAND_NAMES = {
 
 
 def _map(table: Mapping[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.from_json(F.lit(json.dumps(dict(table))), "map<string,string>")
 
 
 def employer_of(

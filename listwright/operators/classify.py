@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.functions import dates, text, urls, values
-from listwright.operators.phrases import any_hit, first_hit, strings, with_hits, words
+from listwright.operators.phrases import any_hit, barrier, constant, first_hit, strings, with_hits, words
 from listwright.rules.ruleset import OTHER, RuleSet
 from listwright.schema import (
     AUTHORITY_RATIO,
@@ -205,11 +205,12 @@ def with_rule_hits(df: DataFrame, rules: RuleSet) -> DataFrame:
 
 def classify_category(df: DataFrame, rules: RuleSet) -> DataFrame:
     """Primary category by highest score, ties to the greatest name; tags in taxonomy order."""
-    table = F.array(
-        *[
-            F.struct(F.lit(name).alias("category"), strings([w for w in map(text.normalise_term, terms) if w]).alias("terms"))
+    table = constant(
+        [
+            {"category": name, "terms": [w for w in map(text.normalise_term, terms) if w]}
             for name, terms in rules.categories.items()
-        ]
+        ],
+        "array<struct<category:string,terms:array<string>>>",
     )
     count = lambda terms, hits: F.size(F.filter(terms, lambda t: F.array_contains(hits, t)))
     known = strings(rules.categories)
@@ -254,16 +255,7 @@ def _one(rule_id: str | Column, fragment: Column, field: str | Column | None = N
 
 def _fragment_pool() -> Column:
     """Every fragment of eligibility, description and title with its normalised form."""
-    parts = []
-    for name in ("eligibility_text", "description", "title"):
-        parts.append(F.transform(text.fragments(C(name)), _pool_item(name)))
-    return F.concat(*parts)
-
-
-def _pool_item(name: str):
-    return lambda part: F.struct(
-        part.alias("text"), F.lit(name).alias("field"), text.padded(text.normalise_text(part)).alias("words")
-    )
+    return text.fragment_pool({n: C(n) for n in ("eligibility_text", "description", "title")})
 
 
 def _quote(rule_id: str | Column, terms: Column) -> Column:
@@ -459,8 +451,8 @@ def assess_relevance(df: DataFrame, rules: RuleSet) -> DataFrame:
     for term in negatives:
         spelling.setdefault(text.normalise_term(term), term)
     excluded = F.try_element_at(
-        F.create_map(*[F.lit(x) for kv in spelling.items() for x in kv]), first_hit(C("hits_text"), negatives)
-    ) if spelling else F.lit(None).cast("string")
+        constant(spelling, "map<string,string>"), first_hit(C("hits_text"), negatives)
+    )
     controlled = C("raw_organisation_type").isin(*rules.controlled_types)
     approved = C("src.priority_tier").isin(*rules.approved_tiers)
     total = lambda table: sum((hit(terms).cast("int") for terms in table.values()), F.lit(0))
@@ -587,7 +579,7 @@ def classify(
         }
     )
     df = join_overrides(df, overrides)
-    df = with_rule_hits(with_texts(df), rules)
+    df = barrier(with_rule_hits(with_texts(df), rules))
     df = df.withColumns({"_geo": geography(rules), "_programme": programme(rules)})
     df = df.withColumns(
         {
@@ -613,7 +605,8 @@ def classify(
         }
     )
     closed = F.coalesce(C("explicitly_closed"), F.lit(False))
-    restrictions = lambda terms: text.matching_fragments(C("stage_body"), terms)
+    df = df.withColumn("stage_pool", text.fragment_pool({"stage": C("stage_body")}))
+    restrictions = lambda terms: text.distinct_texts(text.holding(C("stage_pool"), terms))
     shown = F.when(
         C("source_authority").isin("official_government_portal", "trusted_sector_board", DISCOVERY), C("employer")
     ).otherwise(C("src.canonical_name"))
@@ -629,7 +622,7 @@ def classify(
         + C("page_no").cast("bigint") * F.lit(1 << 20)
         + C("position").cast("bigint")
     )
-    return df.select(
+    out = df.select(
         "id",
         text.clean_name(shown).alias("canonical_employer"),
         "employer_alias",
@@ -696,6 +689,7 @@ def classify(
         "email_approved",
         ordinal.alias("ord"),
     )
+    return barrier(out)
 
 
 # --- tier predicates on records -------------------------------------------------------------
@@ -775,7 +769,7 @@ def with_possible(df: DataFrame, rules: RuleSet, into: str = "is_possible") -> D
         & in_scope()
         & not_unpaid()
     )
-    return df.withColumn(into, flag).drop("_title", "_full", "_title_hits", "_full_hits")
+    return barrier(df.withColumn(into, flag).drop("_title", "_full", "_title_hits", "_full_hits"))
 
 
 def needs_review(possible: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import json
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +14,22 @@ from listwright.functions.text import has_phrase, normalise_term, padded
 CHAIN_LIMIT = 16
 
 
+def constant(value, ddl: str) -> Column:
+    """Constant of any type from one JSON literal; the optimizer folds it to a single value."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
 def strings(items: Iterable[str]) -> Column:
-    items = list(items)
-    return F.array(*[F.lit(x) for x in items]) if items else F.array().cast("array<string>")
+    return constant(list(items), "array<string>")
+
+
+def barrier(df: DataFrame) -> DataFrame:
+    """Keep later filters above this point.
+
+    A filter on a derived column is otherwise pushed below every projection by substituting the
+    column's whole definition, which multiplies deep rule expressions. Rows pass one to one.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(n) for n in df.columns]))))
 
 
 def words(terms: Iterable[str]) -> list[str]:
@@ -23,13 +37,6 @@ def words(terms: Iterable[str]) -> list[str]:
     return list(dict.fromkeys(w for w in map(normalise_term, terms) if w))
 
 
-def _by_first_word(terms: Sequence[str]) -> Mapping[str, list[str]]:
-    out: dict[str, list[str]] = {}
-    for term in terms:
-        out.setdefault(term.split()[0], []).append(term)
-    return out
-
-
 def with_hits(df: DataFrame, wanted: Mapping[str, tuple[Column, Iterable[str]]]) -> DataFrame:
     """Add, per entry, the array of phrases that occur in a normalised text column.
 
@@ -50,26 +57,21 @@ def with_hits(df: DataFrame, wanted: Mapping[str, tuple[Column, Iterable[str]]])
         tokens[token_column] = F.array_distinct(F.split(text, " "))
         seen = F.col(token_column)
         single = F.array_intersect(strings(t for t in vocabulary if " " not in t), seen)
-        by_first = _by_first_word([t for t in vocabulary if " " in t])
-        if not by_first:
+        longer = [t for t in vocabulary if " " in t]
+        if not longer:
             hits[name] = single
             continue
-        table = F.create_map(*[c for k, v in by_first.items() for c in (F.lit(k), strings(v))])
-        candidates = F.flatten(
-            F.transform(F.array_intersect(strings(by_first), seen), _lookup_in(table))
-        )
-        hits[name] = F.concat(single, F.filter(candidates, _occurs_in(padded(text))))
+        firsts = F.array_intersect(strings(dict.fromkeys(t.split()[0] for t in longer)), seen)
+        table = constant([{"f": t.split()[0], "t": t} for t in longer], "array<struct<f:string,t:string>>")
+        found = F.filter(table, _occurs_in(padded(text), firsts))
+        hits[name] = F.concat(single, F.transform(found, lambda row: row["t"]))
     if tokens:
         df = df.withColumns(tokens)
     return df.withColumns(hits).drop(*tokens)
 
 
-def _lookup_in(table: Column):
-    return lambda word: table[word]
-
-
-def _occurs_in(text: Column):
-    return lambda term: F.contains(text, padded(term))
+def _occurs_in(text: Column, firsts: Column):
+    return lambda row: F.array_contains(firsts, row["f"]) & F.contains(text, padded(row["t"]))
 
 
 def any_hit(hits: Column, terms: Iterable[str]) -> Column:
