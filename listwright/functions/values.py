@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from listwright.functions.text import board_text, strip
 from listwright.functions.urls import host
@@ -117,7 +118,7 @@ def array_tail(c: Column, n: int) -> Column:
     return F.slice(c, F.greatest(F.lit(1), F.size(c) - (n - 1)), n)
 
 
-def decode_json(c: Column, schema: str) -> Column:
+def decode_json(c: Column, schema: str | DataType) -> Column:
     """Typed value of a JSON text; NULL when it does not parse."""
     return F.from_json(c, schema, {"mode": "PERMISSIVE"})
 

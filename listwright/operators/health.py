@@ -189,7 +189,7 @@ def source_changes(health: DataFrame, registry: DataFrame, now: Column) -> DataF
 
 def hash_changes(history: DataFrame) -> DataFrame:
     """Per scan of a source: did the content hash change against the scan before it?"""
-    number = F.unix_micros("checked_at")
+    number = F.unix_micros(C("checked_at").cast("timestamp"))
     df = previous_row(history, ["source_id"], ["checked_at"], number, {"hash": C("content_hash")})
     return df.withColumn(
         "changed", F.coalesce(C("prev.hash") != C("content_hash"), F.lit(False))

@@ -84,7 +84,7 @@ def change_feed(previous: DataFrame, current: DataFrame, now: Column) -> DataFra
 
 def change_flags(obs: DataFrame, key: str, order: str, columns: list[str], number: Column | None = None) -> DataFrame:
     """Names of the columns that changed against the previous observation of the same key."""
-    number = F.unix_micros(order) if number is None else number
+    number = F.unix_micros(C(order).cast("timestamp")) if number is None else number
     df = previous_row(obs, [key], [order], number, {"_seen": F.lit(True), **{n: C(n) for n in columns}})
     changed = F.array_compact(
         F.array(*[F.when(~C(n).eqNullSafe(C(f"prev.{n}")), F.lit(f"{n}_changed")) for n in columns])
