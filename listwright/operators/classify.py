@@ -61,7 +61,7 @@ def join_overrides(df: DataFrame, overrides: DataFrame | None) -> DataFrame:
 
 
 def location_type(rules: RuleSet) -> Column:
-    where = text.normalise_text(C("location"))
+    where = C("n_place")
     given = F.coalesce(C("location_type"), F.lit("unknown"))
     return (
         F.when(given != "unknown", given)
@@ -75,7 +75,7 @@ def location_type(rules: RuleSet) -> Column:
 
 def geography(rules: RuleSet) -> Column:
     """``struct<scope, reason>``."""
-    where = text.normalise_text(C("location"))
+    where = C("n_place")
     made = lambda scope, reason=None: F.struct(
         F.lit(scope).alias("scope"),
         (reason if reason is not None else F.lit(None).cast("string")).alias("reason"),
@@ -152,6 +152,7 @@ def with_texts(df: DataFrame) -> DataFrame:
             "n_description": text.normalise_text(C("description")),
             "n_eligibility": text.normalise_text(C("eligibility_text")),
             "n_hint": text.normalise_text(C("cycle_hint")),
+            "n_place": text.normalise_text(C("location")),
             "eligibility_body": text.strip(raw("eligibility_text")),
             "description_body": text.strip(raw("description")),
         }

@@ -87,23 +87,22 @@ def first_hit(hits: Column, terms: Iterable[str]) -> Column:
 def phrase_hits(df: DataFrame, key: str, text: Column, rules: DataFrame) -> DataFrame:
     """Join form for vocabularies too large for a literal: ``(key, kind, rule, term, ord)`` per hit.
 
-    Each row's distinct n-grams, up to the longest phrase, meet the phrase table on equality, so
-    the work grows with the text and not with text times vocabulary. ``text`` is normalised and
-    the phrase table holds its normalised form in ``phrase``.
+    Each row gives its distinct windows of as many tokens as the longest phrase has. A window meets
+    the phrases that start with its first token on equality and keeps those it begins with, so the
+    work grows with the text and not with text times vocabulary, and no row carries a whole text.
+    ``text`` is normalised and the phrase table holds its normalised form in ``phrase``.
     """
     longest = rules.agg(F.max(F.size(F.split("phrase", " "))).alias("n")).first()["n"] or 1
     tokens = df.select(key, F.split(text, " ").alias("_t"))
-    grams = F.flatten(F.array(*[_ngrams(F.col("_t"), n) for n in range(1, longest + 1)]))
-    exploded = tokens.select(key, F.explode(F.array_distinct(grams)).alias("phrase"))
-    return exploded.join(rules, "phrase").select(key, "kind", "rule", "term", "ord")
-
-
-def _ngrams(tokens: Column, n: int) -> Column:
-    if n == 1:
-        return tokens
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.coalesce(grams, strings([]))
+    windows = F.transform(
+        F.sequence(F.lit(1), F.size("_t")), lambda i: F.array_join(F.slice(F.col("_t"), i, longest), " ")
+    )
+    spans = tokens.select(key, F.explode(F.array_distinct(windows)).alias("_w"))
+    spans = spans.withColumn("_first", F.substring_index("_w", " ", 1))
+    table = rules.withColumn("_first", F.substring_index("phrase", " ", 1))
+    after = lambda c: F.concat(c, F.lit(" "))
+    found = spans.join(table, "_first").filter(F.startswith(after(F.col("_w")), after(F.col("phrase"))))
+    return found.select(key, "kind", "rule", "term", "ord").distinct()
 
 
 def first_phrase(hits: DataFrame, key: str) -> DataFrame:

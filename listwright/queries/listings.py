@@ -11,7 +11,7 @@ from listwright.operators import digest as G
 from listwright.operators import quality, serving
 from listwright.operators.phrases import first_phrase, phrase_hits
 from listwright.plans import serve
-from listwright.queries.base import query, s_norm, s_strip, table
+from listwright.queries.base import query, s_norm, s_strip, spread, table
 from listwright.queries.tables import (
     RECORDS_SQL,
     RULES,
@@ -90,7 +90,7 @@ def weighted_score(spark, d):
 )
 def phrase_hits_query(spark, d):
     """Join form of the phrase engine: n-grams against the phrase table."""
-    docs = table(spark, d, "documents").select("doc_id", text.normalise_text(C("text")).alias("n"))
+    docs = spread(table(spark, d, "documents")).select("doc_id", text.normalise_text(C("text")).alias("n"))
     phrases = RULES.table(spark).filter("kind = 'categories'").withColumn("phrase", text.normalise_text(C("term")))
     return phrase_hits(docs, "doc_id", C("n"), phrases).select("doc_id", "rule", "term", "ord")
 
@@ -102,7 +102,7 @@ def phrase_hits_query(spark, d):
     select doc_id, arg_min(term, ord) as term from d join t on contains(' ' || n || ' ', ' ' || term || ' ') group by doc_id""",
 )
 def first_phrase_query(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", text.normalise_text(C("text")).alias("n"))
+    docs = spread(table(spark, d, "documents")).select("doc_id", text.normalise_text(C("text")).alias("n"))
     phrases = RULES.table(spark).filter("kind = 'hard_exclusions'").withColumn("phrase", text.normalise_text(C("term")))
     return first_phrase(phrase_hits(docs, "doc_id", C("n"), phrases), "doc_id").select("doc_id", "term")
 
@@ -216,9 +216,16 @@ def facet_projection(spark, d):
     union all select 'programme', programme, count(*) from facets group by all""",
 )
 def facet_values(spark, d):
-    df = records(spark, d)
-    one = lambda column, name: serving.facet_values(df, column).select(F.lit(name).alias("facet"), "value", "rows")
-    return one("canonical_employer", "employer").unionByName(one("secondary_tags", "tag")).unionByName(one("programme_type", "programme"))
+    facets = {"employer": "canonical_employer", "tag": "secondary_tags", "programme": "programme_type"}
+    return serving.facet_table(records(spark, d), facets)
+
+
+@query(
+    "facet_labels",
+    """select c_mktsegment as value, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) as label, count(*) as rows from customer group by all""",
+)
+def facet_labels(spark, d):
+    return serving.facet_values(table(spark, d, "customer"), "c_mktsegment")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwright.functions import urls
+from listwright.operators.phrases import barrier
 from listwright.schema import PAYLOADS, RAW
 from pyspark.sql.types import StructType
 
@@ -48,15 +49,23 @@ def build_raw(extracted: DataFrame, overwritten: dict[str, Column] | None = None
     have = set(extracted.columns)
     own = lambda name, default: F.coalesce(C(name), default) if name in have else default
     base = F.coalesce(F.nullif(C("src.endpoint"), F.lit("")), F.nullif(C("src.careers_url"), F.lit("")), F.lit(""))
-    link = urls.resolve_url(base, C("url"))
-    apply = urls.resolve_url(base, C("application_url")) if "application_url" in have else F.lit(None).cast("string")
-    given = F.nullif(C("application_url"), F.lit("")) if "application_url" in have else F.lit(None)
+    given = F.nullif(C("application_url"), F.lit("")) if "application_url" in have else F.lit(None).cast("string")
+    extracted = extracted.withColumns({"_base": base, "_given": given})
+    # Each link is resolved once and then reused by name.
+    extracted = extracted.withColumn("_link", urls.resolve_url(C("_base"), C("url")))
+    if "application_url" in have:
+        apply = F.when(C("_given").isNotNull(), urls.resolve_url(C("_base"), C("_given"))).otherwise(C("_link"))
+    else:
+        apply = C("_link")
+    # A row without an absolute web link is not a listing. The barrier keeps the test above the parsing.
+    extracted = barrier(extracted.withColumn("_apply", apply)).filter(urls.is_web_url(C("_link")))
+    link = C("_link")
     empty = F.array().cast("array<string>")
     made = {
         "source_id": C("src.id"),
         "employer": own("employer", C("src.canonical_name")),
         "source_url": link,
-        "application_url": F.when(given.isNotNull(), apply).otherwise(link),
+        "application_url": C("_apply"),
         "source_type": C("kind"),
         "source_authority": own("source_authority", C("src.source_authority")),
         "organisation_type": own("organisation_type", C("src.organisation_type")),
@@ -78,8 +87,7 @@ def build_raw(extracted: DataFrame, overwritten: dict[str, Column] | None = None
     for field in fields:
         value = made.get(field.name, C(field.name) if field.name in have else F.lit(None))
         out.append(value.cast(field.dataType).alias(field.name))
-    # A row without an absolute web link is not a listing.
-    return extracted.select(*out).filter(urls.is_web_url(C("source_url")))
+    return extracted.select(*out)
 
 
 def quarantined(extracted: DataFrame) -> DataFrame:
