@@ -26,7 +26,7 @@ _FROM, _TO = _accent_table()
 def search_text(c: Column) -> Column:
     """Accent-free words; ``&`` reads ``and``."""
     plain = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), _FROM, _TO), "[̀-ͯ]", "")
-    plain = F.regexp_replace(plain, r"(?i)\bc\s*\+\s*\+", " cplusplus ")
+    plain = F.regexp_replace(plain, r"[cC](?<![A-Za-z0-9_][cC])\s*\+\s*\+", " cplusplus ")
     plain = F.lower(F.replace(plain, F.lit("&"), F.lit(" and ")))
     return F.trim(F.regexp_replace(plain, r"[^a-z0-9]+", " "))
 
