@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from listwright.functions.constants import constant_map
 from listwright.functions.text import board_text, strip
 from listwright.functions.urls import host
 
@@ -48,7 +48,7 @@ BRAND_NAMES = {
 
 
 def _map(table: Mapping[str, str]) -> Column:
-    return F.from_json(F.lit(json.dumps(dict(table))), "map<string,string>")
+    return constant_map(table)
 
 
 def employer_of(

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.functions import dates, text, urls, values
-from listwright.operators.phrases import any_hit, barrier, constant, first_hit, strings, with_hits, words
+from listwright.functions.constants import constant, constant_map
+from listwright.operators.phrases import any_hit, barrier, first_hit, strings, with_hits, words
 from listwright.rules.ruleset import OTHER, RuleSet
 from listwright.schema import (
     AUTHORITY_RATIO,
@@ -210,8 +211,7 @@ def classify_category(df: DataFrame, rules: RuleSet) -> DataFrame:
         [
             {"category": name, "terms": [w for w in map(text.normalise_term, terms) if w]}
             for name, terms in rules.categories.items()
-        ],
-        "array<struct<category:string,terms:array<string>>>",
+        ]
     )
     count = lambda terms, hits: F.size(F.filter(terms, lambda t: F.array_contains(hits, t)))
     known = strings(rules.categories)
@@ -452,7 +452,7 @@ def assess_relevance(df: DataFrame, rules: RuleSet) -> DataFrame:
     for term in negatives:
         spelling.setdefault(text.normalise_term(term), term)
     excluded = F.try_element_at(
-        constant(spelling, "map<string,string>"), first_hit(C("hits_text"), negatives)
+        constant_map(spelling), first_hit(C("hits_text"), negatives)
     )
     controlled = C("raw_organisation_type").isin(*rules.controlled_types)
     approved = C("src.priority_tier").isin(*rules.approved_tiers)

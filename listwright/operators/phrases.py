@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listwright.functions.text import has_phrase, normalise_term, padded
+from listwright.functions.constants import constant
+from listwright.functions.text import normalise_term, padded
 
-# Up to this many phrases a chain of compiled substring tests beats the token lookup.
-CHAIN_LIMIT = 16
-
-
-def constant(value, ddl: str) -> Column:
-    """Constant of any type from one JSON literal; the optimizer folds it to a single value."""
-    return F.from_json(F.lit(json.dumps(value)), ddl)
+# Up to this many phrases a chain of compiled substring tests beats the token lookup: one test
+# costs a few microseconds on a long text, hashing its tokens costs about as much as 200 tests.
+CHAIN_LIMIT = 200
 
 
 def strings(items: Iterable[str]) -> Column:
-    return constant(list(items), "array<string>")
+    return constant(list(items))
 
 
 def barrier(df: DataFrame) -> DataFrame:
@@ -49,9 +45,12 @@ def with_hits(df: DataFrame, wanted: Mapping[str, tuple[Column, Iterable[str]]])
     for name, (text, terms) in wanted.items():
         vocabulary = words(terms)
         if len(vocabulary) <= CHAIN_LIMIT:
-            hits[name] = F.array_compact(
-                F.array(*[F.when(has_phrase(text, t), F.lit(t)) for t in vocabulary])
-            ) if vocabulary else strings([])
+            hits[name] = strings([])
+            if vocabulary:
+                tokens[f"_padded_{name}"] = padded(text)
+                seen = F.col(f"_padded_{name}")
+                tests = [F.when(F.contains(seen, F.lit(f" {t} ")), F.lit(t)) for t in vocabulary]
+                hits[name] = F.array_compact(F.array(*tests))
             continue
         token_column = f"_tokens_{name}"
         tokens[token_column] = F.array_distinct(F.split(text, " "))
@@ -62,7 +61,7 @@ def with_hits(df: DataFrame, wanted: Mapping[str, tuple[Column, Iterable[str]]])
             hits[name] = single
             continue
         firsts = F.array_intersect(strings(dict.fromkeys(t.split()[0] for t in longer)), seen)
-        table = constant([{"f": t.split()[0], "t": t} for t in longer], "array<struct<f:string,t:string>>")
+        table = constant([{"f": t.split()[0], "t": t} for t in longer])
         found = F.filter(table, _occurs_in(padded(text), firsts))
         hits[name] = F.concat(single, F.transform(found, lambda row: row["t"]))
     if tokens:
