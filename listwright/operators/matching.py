@@ -181,11 +181,16 @@ def greedy_match(
     parts = key_components(cut(shared, "shared")).withColumnRenamed("node", "vertex")
     sided = cut(sided.join(parts, "vertex"), "sided")
     sizes = sided.groupBy("component").agg(F.count(F.lit(1)).alias("pairs"))
+    # Components share no key, so many small ones can be settled in one call.
+    batches = max(1, sided.count() // max_component)
+    batch = lambda df: df.groupBy(F.pmod(F.xxhash64("component"), F.lit(batches)).alias("b")).applyInPandas(
+        _greedy_batch, MATCHED
+    )
     if sizes.filter(C("pairs") > max_component).isEmpty():
-        return sided.groupBy("component").applyInPandas(_greedy_batch, MATCHED)
+        return batch(sided)
     small = sided.join(sizes.filter(C("pairs") <= max_component), "component", "left_semi")
     large = cut(sided.join(sizes.filter(C("pairs") > max_component), "component", "left_semi"), "large")
-    done = small.groupBy("component").applyInPandas(_greedy_batch, MATCHED)
+    done = batch(small)
     hubs = _hub_components(large)
     done = done.unionByName(_match_by_rank(large.join(hubs, "component", "left_semi")))
     return done.unionByName(_match_in_chunks(large.join(hubs, "component", "left_anti"), chunk))
