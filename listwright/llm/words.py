@@ -64,3 +64,16 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     both = np.concatenate((a, b))
     both.sort(kind="stable")
     return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class BareWordHashes(WordHashes):
+    """The same with ASCII punctuation taken off both ends; a word of punctuation alone stays as it is."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word.strip(PUNCTUATION) or word)
+        return got
