@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from listwright.llm.links import settle
 from listwright.llm.storage import Scratch, small_batches
-from listwright.llm.words import WordHashes, common, fold, gram_hashes, mix
+from listwright.llm.words import WordHashes, fold, gram_hashes, mix
 
 C = F.col
 
@@ -152,21 +152,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, settings: Settings =
 
     bands = nodes.mapInArrow(keys, "node binary, keys array<bigint>").select(F.explode("keys").alias("key"), "node")
 
-    def similar(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
-                both = common(a, b)
-                keep.append(100 * both >= s.percent * (len(a) + len(b) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(nodes.select(C("node").alias("a"), C("items").alias("xa")), "a")
-        joined = joined.join(nodes.select(C("node").alias("b"), C("items").alias("xb")), "b").select("a", "b", "xa", "xb")
-        return joined.mapInArrow(similar, "a binary, b binary")
-
-    found = settle(scratch, bands, lambda pairs: pairs.withColumn("est", F.lit(1.0)), confirm)
+    found = settle(scratch, bands, lambda wanted: nodes, np.uint32, s.percent)
     spans = rows.drop("items")
     if found is None:
         spans = spans.withColumn("component", C("node"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from listwright.llm.links import settle
 from listwright.llm.storage import Scratch, small_batches
-from listwright.llm.words import WordHashes, common, fold, mix, shingle_set
+from listwright.llm.words import WordHashes, fold, mix, shingle_set
 
 C = F.col
 #: Bins of a sketch; 2 ** BIN_BITS.
@@ -131,23 +131,6 @@ def set_rows(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node binary, items binary")
 
 
-def similar_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs with ``100 * |intersection| >= percent * |union|`` on their full sets."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = common(a, b)
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.join(sets.select(C("node").alias("a"), C("items").alias("xa")), "a")
-    joined = joined.join(sets.select(C("node").alias("b"), C("items").alias("xb")), "b").select("a", "b", "xa", "xb")
-    return joined.mapInArrow(run, "a binary, b binary")
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs (doc_id, text, ...)``.
 
@@ -168,29 +151,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     bands = nodes.select(F.explode("bands").alias("key"), "node")
     sets: list[DataFrame] = []
 
-    def screen(pairs: DataFrame) -> DataFrame:
-        return agreement(pairs, nodes)
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.keep(pairs.select("a", "b"), "pairs")
-        wanted = pairs.select(C("a").alias("node")).union(pairs.select(C("b").alias("node"))).distinct()
+    def fetch(wanted: DataFrame) -> DataFrame:
         for known in sets:
             wanted = wanted.join(known.select("node"), "node", "left_anti")
         wanted = scratch.keep(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted")
-        if not wanted.isEmpty():
+        if not sets or not wanted.isEmpty():
             # A null id matches null ids only; a repeated id may bring other texts, which no pair asks for.
             ids = wanted.select(C("doc_id").alias("wanted_id")).distinct()
             texts = docs.join(ids, C("doc_id").eqNullSafe(C("wanted_id")), "left_semi")
             new = set_rows(texts, size).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
             sets.append(scratch.keep(new, "sets"))
-        if not sets:
-            return pairs.limit(0)
         known = sets[0]
         for other in sets[1:]:
             known = known.unionByName(other)
-        return similar_sets(pairs, known, percent)
+        return known
 
-    found = settle(scratch, bands, screen, confirm)
+    found = settle(scratch, bands, fetch, np.uint64, percent, nodes.select("node", "mark"), lambda p: agreement(p, nodes), SCREEN)
     labels = nodes.select("node", "doc_id")
     if found is not None:
         labels = labels.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
