@@ -199,7 +199,7 @@ def near_vectors(spark: SparkSession, table: DataFrame, settings: Settings = Set
     centres = coded.select(C("row").alias("cell"), "code").join(sizes, "cell").select(C("cell").alias("id"), "code", "reach")
     pairs = scratch.keep(screened(pairs, centres, f"{theta} + ra + rb"), "pairs")
 
-    def blocks(key, group: pa.Table) -> pa.Table:
+    def blocks(key, group):
         return pa.table({
             "cell": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()),
             "rows": pa.array([group.column("row").to_pylist()], pa.list_(pa.int64())),

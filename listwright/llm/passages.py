@@ -166,7 +166,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, settings: Settings =
     several = spans.join(sources, "component").withColumn("kept", C("doc") == C("source.doc"))
     several = several.select("doc", "doc_id", "first", "end", "start", "length", F.hex("component").alias("component"), C("source.doc_id").alias("source"), "kept")
 
-    def merge(key, group: pa.Table) -> pa.Table:
+    def merge(key, group):
         out = []
         for first, end, start, length, component, source in sorted(zip(*(group.column(c).to_pylist() for c in ("first", "end", "start", "length", "component", "source"))), key=lambda r: r[:2]):
             if out and first <= out[-1][1]:
