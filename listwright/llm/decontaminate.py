@@ -176,16 +176,42 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, set
     repeated rows, several places of one item give a row each; an empty table on either side gives no row.
     """
     small_batches(spark)
+    found = None
+    for rows in _blocks(benchmark, settings):
+        part = _search(spark, docs.select("doc_id", "text"), rows, settings)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns and no shuffle."""
+    small_batches(spark)
+    at = docs.columns.index("text")
+
+    def filtered(frame: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(rows)
+
+        def run(batches):
+            items, memo = Items(sent.value, settings), BareWordHashes()
+            for batch in batches:
+                keep = [not items.matches(memo.of(fold(t).split())) for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return frame.mapInArrow(run, frame.schema)
+
+    for rows in _blocks(benchmark, settings):
+        docs = filtered(docs, rows)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, s: Settings):
+    """The distinct items in blocks of about ``block_words`` words: one, unless the benchmark is larger than that."""
     items = benchmark.select("item_id", "text").filter("text is not null").distinct()
     words = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-words // settings.block_words))
-    docs = docs.select("doc_id", "text")
-    found = None
+    blocks = max(1, -(-words // s.block_words))
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        part = _search(spark, docs, [(r["item_id"], r["text"]) for r in block], settings)
-        found = part if found is None else found.unionByName(part)
-    return found
+        yield [(r["item_id"], r["text"]) for r in block]
 
 
 def _search(spark: SparkSession, docs: DataFrame, rows: list[tuple[int, str]], s: Settings) -> DataFrame:

@@ -179,3 +179,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     return rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"),
     ).withColumn("kept", C("doc_id").eqNullSafe(C("component_id")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` whose document is the least of its group, with all their columns.
+
+    A row that repeats another's id and text goes as well; rows of one id with different texts stay or go together,
+    and rows with a null id stay. Columns are passed through.
+    """
+    kept = near_duplicates(spark, docs, size, percent).filter("kept").select(C("doc_id").alias("_kept_id")).distinct()
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(C("_kept_id")), "left_semi")
+    return left.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")

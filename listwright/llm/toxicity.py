@@ -6,13 +6,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwright.llm.storage import Scratch, small_batches
-from listwright.llm.words import BareWordHashes, fold, mix
+from listwright.llm.words import MEMO, PUNCTUATION, BareWordHashes, WordHashes, fold, mix
 
 C = F.col
+START = 4
+#: Score from which on a text is rejected.
+THRESHOLD = 0.5
 
 
 @dataclass(frozen=True)
@@ -21,19 +25,37 @@ class Settings:
     sample_rows: int = 12_288
     passes: int = 3
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 2.0
+    l1: float = 6.0
     l2: float = 1.0
 
 
-def features(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Indices of words, of word pairs and of pairs with one or two words between; with repeats."""
-    parts = [mix(hashes, 21)]
-    for gap in (1, 2, 3):
-        if len(hashes) > gap:
-            parts.append(mix(mix(hashes[:-gap], 21 + gap) + hashes[gap:], 31))
-    return (np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.int32)
+class StartHashes(WordHashes):
+    """Hashes of the first ``START`` letters of words: inflected and compound words share them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        start = (word.strip(PUNCTUATION) or word).decode("utf-8", "replace")[:START]
+        got = self[word] = xxhash.xxh3_64_intdigest(start.encode())
+        return got
+
+
+class Features:
+    """Indices of a text's words and word starts, of word pairs and of pairs with one or two words between; with repeats."""
+
+    def __init__(self, bits: int):
+        self.shift, self.words, self.starts = np.uint64(64 - bits), BareWordHashes(), StartHashes()
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = fold(text).split()
+        hashes = self.words.of(words)
+        parts = [mix(hashes, 21), mix(self.starts.of(list(set(words))), 25)]
+        for gap in (1, 2, 3):
+            if len(hashes) > gap:
+                parts.append(mix(mix(hashes[:-gap], 21 + gap) + hashes[gap:], 31))
+        return (np.concatenate(parts) >> self.shift).astype(np.int32)
 
 
 class Ftrl:
@@ -86,9 +108,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, s: Settings) ->
     texts = docs.select(C("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
 
     def hashed(batches):
-        memo = BareWordHashes()
+        features = Features(s.bits)
         for batch in batches:
-            sets = [np.unique(features(memo.of(fold(t).split()), s.bits)).tobytes() for t in batch.column(2).to_pylist()]
+            sets = [np.unique(features.of(t)).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["key", "label", "at"])
 
     def learn(batches):
@@ -111,6 +133,20 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, s: Settings) ->
     return got["at"].to_numpy(dtype=np.int64), got["w"].to_numpy(dtype=np.float64)
 
 
+class Scorer:
+    """The model inside a task."""
+
+    def __init__(self, places: np.ndarray, values: np.ndarray, bits: int):
+        self.fitted, self.dense = len(places) > 0, np.zeros((1 << bits) + 1)
+        self.dense[places] = values
+        self.used, self.features = self.dense != 0, Features(bits)
+
+    def score(self, text: str | None) -> float:
+        found = self.features.of(text)
+        found = np.unique(found[self.used[found]])
+        return sigmoid(self.dense[-1] + self.dense[found].sum()) if self.fitted else 0.0
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``, one row per row of ``docs (doc_id, text, ...)``.
 
@@ -118,23 +154,28 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings:
     learned; without any usable label every score is 0. Repeated rows get equal scores; other columns are ignored.
     """
     small_batches(spark)
-    at, w = fit(spark, docs, labels, settings)
-    model = spark.sparkContext.broadcast((at, w))
-    bits = settings.bits
+    model, bits = spark.sparkContext.broadcast(fit(spark, docs, labels, settings)), settings.bits
 
     def run(batches):
-        places, values = model.value
-        dense = np.zeros((1 << bits) + 1)
-        dense[places] = values
-        used, memo = dense != 0, BareWordHashes()
+        scorer = Scorer(*model.value, bits)
         for batch in batches:
-            scores = []
-            for text in batch.column(2).to_pylist():
-                found = features(memo.of(fold(text).split()), bits)
-                found = np.unique(found[used[found]])
-                scores.append(sigmoid(dense[-1] + dense[found].sum()) if len(places) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
+            scores = pa.array([scorer.score(t) for t in batch.column(2).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], ["doc_id", "held_out", "score"])
 
     scored = docs.select(C("doc_id").cast("bigint").alias("doc_id"), "text").select("doc_id", held_out().alias("held_out"), "text")
     scored = scored.mapInArrow(run, "doc_id bigint, held_out boolean, score double")
-    return scored.withColumn("predicted", (C("score") >= 0.5).cast("int"))
+    return scored.withColumn("predicted", (C("score") >= THRESHOLD).cast("int"))
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``THRESHOLD``, with all their columns and no shuffle."""
+    small_batches(spark)
+    model, bits, at = spark.sparkContext.broadcast(fit(spark, docs, labels, settings)), settings.bits, docs.columns.index("text")
+
+    def run(batches):
+        scorer = Scorer(*model.value, bits)
+        for batch in batches:
+            keep = [scorer.score(t) < THRESHOLD for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
