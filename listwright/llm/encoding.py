@@ -10,12 +10,14 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Pieces a task remembers; a full memo starts anew between two texts, results do not change.
-MEMO = 300_000
+#: Pieces and words a worker remembers; a full memo starts anew, results do not change.
+MEMO, WORDS = 1_000_000, 500_000
 #: The split that a byte-level pre-tokenizer makes by itself.
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces in which both regular expression libraries see the same letters, digits and white space.
 PLAIN = re.compile(r" ?[\n\x21-\x7e\xa1-\xac\xae-\xff]+\Z")
+#: Marks that the split keeps together in one word after letters.
+MARKS = ".,;:!?*#$%&|)"
 SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0"
 BESIDE_SPACE = re.compile(r"\s | \s|^ | $")
 CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -92,25 +94,37 @@ class TextEncoder:
             self.pieces = _Pieces(self._spaced if self.kind == "kept" else self._piece)
 
     def _spaced(self, piece: str) -> list[int]:
-        return self._piece(piece if piece.startswith(" ") else " " + piece)
+        return self._piece(piece, " ")
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str, space: str = "") -> list[int]:
         if not piece:
             return []
+        if not piece.isascii() and not PLAIN.match(piece):
+            return self.library.encode(space + piece, add_special_tokens=False).ids
+        if self.lower:
+            piece = piece.lower()
+        # Most pieces are letters with marks after them: two words of the split.
+        letters = piece.rstrip(MARKS)
+        if letters.isalpha():
+            ids = self._word(space + letters)
+            return ids + self._word(piece[len(letters) :]) if len(letters) < len(piece) else ids
         if not PLAIN.match(piece):
-            return self.library.encode(piece, add_special_tokens=False).ids
+            return self.library.encode(space + piece, add_special_tokens=False).ids
         out: list[int] = []
-        for word in self.pattern.findall(piece.lower() if self.lower else piece):
-            ids = self.words.get(word)
-            if ids is None:
-                letters = word.encode().decode("latin-1").translate(self.letters)
-                ids = [t.id for t in self.library.model.tokenize(letters)]
-                if len(self.words) >= MEMO:
-                    self.words.clear()
-                self.words[word] = ids
-            out += ids
+        for word in self.pattern.findall(space + piece):
+            out += self._word(word)
         return out
 
+    def _word(self, word: str) -> list[int]:
+        ids = self.words.get(word)
+        if ids is None:
+            letters = word.translate(self.letters) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.library.model.tokenize(letters)]
+            if len(self.words) >= WORDS:
+                self.words.clear()
+            self.words[word] = ids
+        return ids
+
     def _cut(self, text: str) -> list[str] | None:
         """Pieces of a text whose spaces stand alone between other characters, else None."""
         if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
@@ -130,7 +144,8 @@ class TextEncoder:
         if self.kind == "kept":
             cut = self._cut(text)
             if cut is None:
-                cut = CUT.split(text)
+                start, *rest = CUT.split(text)
+                cut = [start, *(p[1:] for p in rest)]
             first, cut = self._piece(cut[0]), cut[1:]
         else:
             cut = text.split(" ")

@@ -27,7 +27,8 @@ BLANK = " \t\r\f"
 
 def masked(line: F.Column) -> F.Column:
     """The trimmed line with every token that holds a digit replaced by ``<*>``."""
-    return F.regexp_replace(F.btrim(line, F.lit(BLANK)), r"[^ \t\r\f]*[0-9][^ \t\r\f]*", "<*>")
+    # Anchored at a token's start and without backtracking, so a very long token costs no more than its length.
+    return F.regexp_replace(F.btrim(line, F.lit(BLANK)), r"(?<![^ \t\r\f])[^ \t\r\f0-9]*+[0-9][^ \t\r\f]*", "<*>")
 
 
 def tokens(text: F.Column) -> F.Column:

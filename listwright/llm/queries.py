@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm import decontaminate, grammar, hamming, html, lines, packing, passages, sketching, toxicity, warc
+from listwright.llm import decontaminate, grammar, hamming, html, lines, oracles, packing, passages, sketching, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,7 +37,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op3_line_templates")
+@query("op3_line_templates", oracles.LINES)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.drop_lines(spark, table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "dropped", "text")
@@ -49,13 +49,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-@query("op5_indexed_warc")
+@query("op5_indexed_warc", oracles.ARCHIVES)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op6_hamming_tables")
+@query("op6_hamming_tables", oracles.VECTORS)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.near_vectors(spark, table(spark, sf_dir, "embeddings"))
 
@@ -77,6 +77,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(spark, table(spark, sf_dir, "pages"))
 
 
-@query("op10_fast_sketch_dedup")
+@query("op10_fast_sketch_dedup", oracles.SHINGLES)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketching.near_duplicates(spark, table(spark, sf_dir, "documents"))
