@@ -11,7 +11,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Pieces and words a worker remembers; a full memo starts anew, results do not change.
-MEMO, WORDS = 1_000_000, 500_000
+MEMO, WORDS = 1_200_000, 1_000_000
 #: The split that a byte-level pre-tokenizer makes by itself.
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces in which both regular expression libraries see the same letters, digits and white space.
@@ -58,6 +58,15 @@ class _Pieces(dict):
         del self.flat[:], self.starts[:], self.lengths[:]
 
 
+def latin(text: str) -> bool:
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return True
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs ``flat[start : start + length]`` one after another."""
     total = int(lengths.sum())
@@ -99,6 +108,8 @@ class TextEncoder:
     def _piece(self, piece: str, space: str = "") -> list[int]:
         if not piece:
             return []
+        if piece[0] == "\n" and not piece[1:2].isspace() and not self.lower:
+            return self._word("\n") + self._piece(piece[1:])
         if not piece.isascii() and not PLAIN.match(piece):
             return self.library.encode(space + piece, add_special_tokens=False).ids
         if self.lower:
@@ -126,14 +137,15 @@ class TextEncoder:
         return ids
 
     def _cut(self, text: str) -> list[str] | None:
-        """Pieces of a text whose spaces stand alone between other characters, else None."""
+        """Pieces of a text whose spaces and line ends stand alone between other characters, else None."""
         if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
             return None
-        try:
-            text.isascii() or text.encode("latin-1")
-        except UnicodeEncodeError:
+        if not latin(text):
             return None if BESIDE_SPACE.search(text) else text.split(" ")
-        return None if any(c in text for c in SPACES) else text.split(" ")
+        if any(c in text for c in SPACES):
+            return None
+        # A single line end is a word of its own; the text after it has no space.
+        return (text if "\n\n" in text or text[-1] == "\n" else text.replace("\n", " \n")).split(" ")
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -148,7 +160,7 @@ class TextEncoder:
                 cut = [start, *(p[1:] for p in rest)]
             first, cut = self._piece(cut[0]), cut[1:]
         else:
-            cut = text.split(" ")
+            cut = (text.lower() if self.lower and latin(text) else text).replace("\n", " ").split(" ")
         if len(self.pieces) >= MEMO:
             self.pieces.reset()
         at = np.fromiter(map(self.pieces.__getitem__, cut), dtype=np.int64, count=len(cut))

@@ -22,7 +22,7 @@ BLOCK = 1 << 21
 SLOT_BITS = 20
 #: Symbols fit in three bytes.
 SHIFT = 24
-ROUNDS, PER_ROUND, LEAST, GAIN = 12, 4096, 24, 0.98
+ROUNDS, PER_ROUND, LEAST, GAIN = 12, 4096, 24, 0.97
 
 
 def build(ids: np.ndarray, ends: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,6 +144,13 @@ class Block:
         own = self.symbols[self.firsts[k] : self.firsts[k + 1]]
         return gather(flat, starts[own], lengths[own]).astype(np.int32)
 
+    def documents(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the block and each document's first place in them, with the end as last."""
+        flat, starts, lengths = expansions(self.rules, self.alphabet)
+        own = lengths[self.symbols]
+        ends = np.concatenate(([0], np.cumsum(own)))
+        return gather(flat, starts[self.symbols], own), ends[self.firsts]
+
     def token(self, k: int, i: int) -> int:
         """Token i of document k: skip by expansion lengths, then walk down the rules."""
         own = self.symbols[self.firsts[k] : self.firsts[k + 1]]
@@ -229,13 +236,13 @@ def read_files(index: DataFrame, folder: str) -> DataFrame:
                 with system.open_input_file(f"{path}/{name}") as file:
                     file.seek(at)
                     block = Block(file.read(size))
+                ids, places = block.documents()
+                raw, bounds = ids.astype("<u4").tobytes(), (4 * places).tolist()
                 for low in range(0, len(block.doc_ids), 512):
-                    part = [block.document(k) for k in range(low, min(low + 512, len(block.doc_ids)))]
-                    sizes = np.array([len(x) for x in part])
-                    starts, first = first + np.cumsum(sizes) - sizes, first + int(sizes.sum())
+                    high = min(low + 512, len(block.doc_ids))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(block.doc_ids[low : low + 512], pa.int64()), pa.array(starts, pa.int64()),
-                        pa.array([x.astype("<u4").tobytes() for x in part], pa.binary()),
+                        pa.array(block.doc_ids[low:high], pa.int64()), pa.array(first + places[low:high], pa.int64()),
+                        pa.array([raw[bounds[k] : bounds[k + 1]] for k in range(low, high)], pa.binary()),
                     ], ["doc_id", "start", "ids"])
 
     return blocks.mapInArrow(run, "doc_id bigint, start bigint, ids binary")
