@@ -84,7 +84,8 @@ def with_rows(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
     extra = [c for c in other.columns if c not in ("doc_id", "text_key")]
     other = other.select(C("doc_id").alias("_id"), C("text_key").alias("_key"), *extra)
     same = docs["doc_id"].eqNullSafe(other["_id"]) & (F.xxhash64(docs["text"]) == other["_key"])
-    return docs.join(other, same, how).drop("_id", "_key")
+    # A merge at every size: the other side grows with the documents, so its being small once proves nothing.
+    return docs.join(other.hint("merge"), same, how).drop("_id", "_key")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
