@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listwright.llm.encoding import gather
 from listwright.llm.storage import small_batches
 from listwright.llm.words import BareWordHashes, fold, mix
 
 C = F.col
+#: Stands after the end of a window.
+PAD = 0x5DEECE66D
 
 
 @dataclass(frozen=True)
@@ -29,21 +32,25 @@ class Settings:
     block_words: int = 2_000_000
 
 
-def walk(windows: np.ndarray, embedding: int) -> np.ndarray:
-    """The random walk of each row: 3 n steps that repeat a symbol or go on, as a hash of step and symbol says.
-
-    Sequences within few edits of each other fall into step again, so their walks differ in few places.
+def walk(words: np.ndarray, starts: np.ndarray, n: int, embedding: int) -> np.ndarray:
+    """The random walk of each window of ``n`` words: 3 n steps that repeat a symbol or go on, as a hash of step and
+    symbol says. Sequences within few edits of each other fall into step again, so their walks differ in few places.
     """
-    rows, n = windows.shape
-    padded = np.concatenate((windows, np.full((rows, 1), 0x5DEECE66D, dtype=np.uint64)), axis=1)
-    at, every = np.zeros(rows, dtype=np.intp), np.arange(rows)
-    out = np.empty((rows, 3 * n), dtype=np.uint64)
+    low = int(starts[0])
+    region = np.full(int(starts[-1]) - low + n + 1, PAD, dtype=np.uint64)
+    known = words[low : low + len(region) - 1]
+    region[: len(known)] = known
     steps = mix(np.arange(3 * n, dtype=np.uint64), 101 + embedding)
+    go = (mix(region[None, :] ^ steps[:, None]) & np.uint64(1)).astype(np.intp)
+    at, last = starts - low, starts - low + n
+    places = np.empty((3 * n, len(starts)), dtype=np.intp)
     for j in range(3 * n):
-        out[:, j] = symbol = padded[every, at]
-        at += (mix(symbol ^ steps[j]) & np.uint64(1)).astype(np.intp)
-        np.minimum(at, n, out=at)
-    return out
+        places[j] = at
+        at = np.minimum(at + go[j, at], last)
+    out = region[places]
+    # A walk that has passed its window stays on the mark of its end.
+    out[places == last[None, :]] = PAD
+    return out.T
 
 
 def table_keys(walks: np.ndarray, embedding: int, s: Settings) -> np.ndarray:
@@ -89,79 +96,79 @@ class Items:
             if len(words) >= s.least_words:
                 self.ids.append(item_id)
                 self.words.append(words)
-        pairs = [pair_hashes(w) for w in self.words]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.uint64)
+        sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.edits = (sizes * s.edits).astype(np.int64)
+        # An edit breaks at most two word pairs, and a passage has at most as many words more as edits: a start after
+        # which that many words hold fewer pairs of the item cannot match, so passing it over loses nothing.
+        self.least = np.maximum(1, sizes - 1 - 2 * self.edits)
+        pairs = [np.unique(pair_hashes(w)) for w in self.words]
+        every = np.concatenate(pairs) if pairs else np.zeros(0, dtype=np.uint64)
+        owner = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs]) if pairs else np.zeros(0, dtype=np.int64)
+        order = np.argsort(every, kind="stable")
+        self.pairs, first, count = np.unique(every[order], return_index=True, return_counts=True)
+        self.owner, self.first, self.count = owner[order], first, count
         self.low = np.zeros(1 << 20, dtype=bool)
         self.low[self.pairs & np.uint64((1 << 20) - 1)] = True
-        self.by_size: dict[int, list[int]] = {}
-        for k, words in enumerate(self.words):
-            self.by_size.setdefault(len(words), []).append(k)
-        self.keys: dict[int, list[list[dict[int, list[int]]]]] = {}
-        for n, own in self.by_size.items():
-            stack = np.stack([self.words[k] for k in own])
-            self.keys[n] = []
-            for e in range(s.embeddings):
-                keys = table_keys(walk(stack, e), e, s)
-                tables: list[dict[int, list[int]]] = []
-                for t in range(s.tables):
-                    table: dict[int, list[int]] = {}
-                    for k, key in zip(own, keys[:, t].tolist()):
-                        table.setdefault(key, []).append(k)
-                    tables.append(table)
-                self.keys[n].append(tables)
-        self.sorted = {n: [[np.array(sorted(t), dtype=np.uint64) for t in e] for e in tables] for n, tables in self.keys.items()}
-
-    def hits(self, words: np.ndarray) -> np.ndarray:
+        self.keys: dict[int, list[np.ndarray]] = {}
+
+    def keys_of(self, k: int) -> list[np.ndarray]:
+        """The item's key in every table of every embedding."""
+        if k not in self.keys:
+            words, start = self.words[k], np.zeros(1, dtype=np.intp)
+            self.keys[k] = [table_keys(walk(words, start, len(words), e), e, self.s)[0] for e in range(self.s.embeddings)]
+        return self.keys[k]
+
+    def shared_pairs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the text's word pairs that items have, and the item of each: a row for every item."""
         pairs = pair_hashes(words)
-        hit = self.low[pairs & np.uint64((1 << 20) - 1)]
-        some = np.flatnonzero(hit)
+        some = np.flatnonzero(self.low[pairs & np.uint64((1 << 20) - 1)])
         at = np.minimum(np.searchsorted(self.pairs, pairs[some]), len(self.pairs) - 1)
-        hit[some] = self.pairs[at] == pairs[some]
-        return hit
+        same = self.pairs[at] == pairs[some]
+        some, at = some[same], at[same]
+        count = self.count[at]
+        return np.repeat(some, count), gather(self.owner, self.first[at], count)
 
     def matches(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
         """``(item index, edits, first word, word after the last)`` of every item that the text holds."""
         if len(words) < 2 or not self.words:
             return []
-        sums = np.concatenate(([0], np.cumsum(self.hits(words))))
-        spans: dict[int, list[int]] = {}
-        for n in self.by_size:
-            d = int(n * self.s.edits)
-            # An edit breaks at most two word pairs, and a passage longer than the window loses at most d more:
-            # windows with fewer shared pairs cannot match, so passing them over loses nothing.
-            least = max(1, n - 1 - 3 * d)
-            size = min(n, len(words))
-            if size < n - d:
-                continue
-            count = sums[size - 1 :] - sums[: len(sums) - size + 1]
-            starts = np.flatnonzero(count >= least)
-            for low in range(0, len(starts), 2048):
-                some = starts[low : low + 2048]
-                windows = words[some[:, None] + np.arange(size)]
-                if size < n:
-                    windows = np.concatenate((windows, np.full((len(some), n - size), 0x5DEECE66D, dtype=np.uint64)), axis=1)
-                for e in range(self.s.embeddings):
-                    keys = table_keys(walk(windows, e), e, self.s)
-                    for t in range(self.s.tables):
-                        for row in np.flatnonzero(np.isin(keys[:, t], self.sorted[n][e][t])):
-                            for k in self.keys[n][e][t][int(keys[row, t])]:
-                                spans.setdefault(k, []).append(int(some[row]))
+        places, items = self.shared_pairs(words)
         out = []
-        for k, found in spans.items():
-            item, d = self.words[k], int(len(self.words[k]) * self.s.edits)
-            found = sorted(set(found))
-            low = found[0]
-            for here, following in zip(found, [*found[1:], None]):
-                if following is not None and following - here <= len(item):
-                    continue
-                start = max(0, low - d)
-                region = words[start : here + len(item) + d]
-                edits, first, end = nearest_span(item, region)
-                if edits <= d:
-                    out.append((k, edits, start + first, start + end))
-                low = following
+        for k in np.flatnonzero(np.bincount(items, minlength=len(self.words)) >= self.least).tolist():
+            starts = self._windows(places[items == k], len(words), k)
+            # Windows close to each other are one place: a collision of any of them has it compared exactly, once.
+            for run in np.split(starts, np.flatnonzero(np.diff(starts) > len(self.words[k])) + 1):
+                if len(run) and self._collides(words, k, run):
+                    out += self._verified(words, k, int(run[0]), int(run[-1]))
         return out
 
+    def _windows(self, places: np.ndarray, size: int, k: int) -> np.ndarray:
+        """Starts of the item-sized windows at which a passage with enough word pairs of item k can start."""
+        n, d = len(self.words[k]), int(self.edits[k])
+        if size < n - d:
+            return places[:0]
+        marks = np.zeros(size + n + d, dtype=np.int64)
+        marks[np.unique(places) + 1] = 1
+        sums = np.cumsum(marks)
+        # The pairs of n + d words are one fewer than the words.
+        reach = sums[n + d - 1 : size + n + d - 1] - sums[:size]
+        return np.flatnonzero(reach >= self.least[k])
+
+    def _collides(self, words: np.ndarray, k: int, run: np.ndarray) -> bool:
+        """Does the walk of a window share a table's key with the item's walk?"""
+        n = len(self.words[k])
+        for low in range(0, len(run), 2048):
+            for e, own in enumerate(self.keys_of(k)):
+                if (table_keys(walk(words, run[low : low + 2048], n, e), e, self.s) == own).any():
+                    return True
+        return False
+
+    def _verified(self, words: np.ndarray, k: int, first: int, last: int) -> list[tuple[int, int, int, int]]:
+        item, d = self.words[k], int(self.edits[k])
+        start = max(0, first - d)
+        edits, low, high = nearest_span(item, words[start : last + len(item) + d])
+        return [(k, edits, start + low, start + high)] if edits <= d else []
+
 
 def pair_hashes(words: np.ndarray) -> np.ndarray:
     return mix(mix(words[:-1], 41) + words[1:], 42)
