@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.session import cut
+from listwright.session import cut, discard
 
 
 def shared_pairs(pairs: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def shared_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.join(stats.filter("n_key > 1"), "key")
 
 
-def key_components(shared: DataFrame, max_rounds: int = 60) -> DataFrame:
+def key_components(shared: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``shared``; the component is its least node.
 
     Each key contributes a star around its least node, so the edges never outnumber the
@@ -24,13 +24,12 @@ def key_components(shared: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = shared.filter("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v")).distinct()
     edges = cut(edges, "edges")
-    for _ in range(max_rounds):
-        if _is_star_forest(edges):
-            leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return leaves.unionByName(roots)
-        edges = cut(_small_star(_large_star(edges)), "edges")
-    raise RuntimeError("components did not settle")
+    while not _is_star_forest(edges):
+        before, edges = edges, cut(_small_star(_large_star(edges)), "edges")
+        discard(before)
+    leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return leaves.unionByName(roots)
 
 
 def _is_star_forest(edges: DataFrame) -> bool:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listwright.functions import dates, text, values
@@ -11,8 +11,6 @@ from listwright.session import cut
 
 C = F.col
 
-# Fixed value: ids hashed as one text; longer digests hash slice hashes.
-IDS_PER_SLICE = 100_000
 
 
 def digest_order(now: Column) -> list[Column]:
@@ -40,13 +38,8 @@ def global_rank(df: DataFrame, order: list[Column], into: str = "position") -> D
     sorted_rows = cut(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright("_m", 33)
     sizes = sorted_rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per sort partition on both sides of this comparison.
-    before = (
-        sizes.alias("a")
-        .join(sizes.alias("b"), C("b._p") < C("a._p"), "left")
-        .groupBy(C("a._p").alias("_p"))
-        .agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    )
+    # One row per sort partition: a running sum over few rows.
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - C("_n")).alias("_before"))
     return (
         sorted_rows.withColumn("_p", part)
         .join(before, "_p")
@@ -56,17 +49,10 @@ def global_rank(df: DataFrame, order: list[Column], into: str = "position") -> D
 
 
 def digest_id(ranked: DataFrame, id_column: str = "id", position: str = "position") -> DataFrame:
-    """First 20 hex digits of the hash over the ordered ids, one row."""
-    slices = ranked.groupBy(F.floor(C(position) / IDS_PER_SLICE).alias("_slice")).agg(
-        F.array_sort(F.collect_list(F.struct(C(position).alias("p"), C(id_column).alias("v")))).alias("_items")
-    )
-    hashed = slices.select(
-        "_slice", F.sha2(F.array_join(F.transform("_items", lambda x: x["v"]), "|"), 256).alias("_hash")
-    )
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_slice", "_hash"))), lambda x: x["_hash"]), "|")
-    return hashed.agg(
-        F.substring(F.when(F.count(F.lit(1)) == 1, F.min("_hash")).otherwise(F.sha2(whole, 256)), 1, 20).alias("digest_id")
-    )
+    """First 20 hex digits of the hash over the ordered ids, one row. It gathers the ids of one message."""
+    items = F.array_sort(F.collect_list(F.struct(C(position).alias("p"), C(id_column).alias("v"))))
+    whole = F.array_join(F.transform(items, lambda x: x["v"]), "|")
+    return ranked.agg(F.substring(F.sha2(whole, 256), 1, 20).alias("digest_id"))
 
 
 def select_digest(
@@ -76,13 +62,17 @@ def select_digest(
     chosen = unsent(records, sent, last_success).filter(digest_eligible())
     group, employer, title = digest_order(now)
     keyed = chosen.withColumns({"_g": group, "_e": employer, "_t": title})
-    ranked = global_rank(keyed, [C("_g"), C("_e"), C("_t"), C("ord")]).withColumnRenamed("_g", "digest_group")
+    # Only the order's columns are sorted and written; whole rows join their position.
+    narrow = keyed.select("id", "ord", "_g", "_e", "_t")
+    ranked = global_rank(narrow, [C("_g"), C("_e"), C("_t"), C("ord"), C("id")]).withColumnRenamed("_g", "digest_group")
     ranked = ranked.drop("_e", "_t")
-    return ranked, digest_id(ranked)
+    return chosen.join(ranked, ["id", "ord"]), digest_id(ranked)
 
 
-def advance_state(sent: DataFrame, selected: DataFrame, runs: DataFrame, outcome: str, digest: str | None, now: Column):
-    """``(sent ids, run log of the last 100)`` after an outcome; a failure leaves the state alone."""
+def advance_state(
+    sent: DataFrame, selected: DataFrame, runs: DataFrame, outcome: str, digest: str | None, now: Column, *, keep_runs: int
+):
+    """``(sent ids, run log of the last ``keep_runs`` runs)`` after an outcome; a failure leaves the state alone."""
     if outcome not in ("sent", "no_confirmed_recipients", "no_new_roles"):
         return sent, runs
     if outcome != "no_new_roles":
@@ -90,7 +80,7 @@ def advance_state(sent: DataFrame, selected: DataFrame, runs: DataFrame, outcome
     entry = sent.sparkSession.range(1).select(
         now.alias("at"), F.lit(outcome).alias("outcome"), F.lit(digest).cast("string").alias("digest_id")
     )
-    return sent, runs.unionByName(entry).orderBy(F.desc("at")).limit(100)
+    return sent, runs.unionByName(entry).orderBy(F.desc("at")).limit(keep_runs)
 
 
 def pending_recipients(subscribers: DataFrame, digest: Column) -> DataFrame:

@@ -11,8 +11,7 @@ from listwright.operators.ordered import previous_row
 
 C = F.col
 
-# Fixed value: pages per digest slice. Sources up to this many pages hash exactly as one text.
-PAGES_PER_SLICE = 4096
+WATCHED_NOTE = "Watched page retrieved; its listings are reviewed by hand"
 CHANGED_NOTE = "Official source content changed; review the source before closure decisions"
 
 
@@ -22,26 +21,12 @@ def coverage_ok(advertised: Column, found: Column) -> Column:
 
 
 def ordered_digest(df: DataFrame, keys: list[str], position: str, value: str, into: str) -> DataFrame:
-    """SHA-256 over values in position order, built slice by slice so no group is gathered whole."""
-    sliced = df.groupBy(*keys, F.floor(C(position) / PAGES_PER_SLICE).alias("_slice")).agg(
-        F.array_sort(F.collect_list(F.struct(C(position).alias("p"), C(value).alias("v")))).alias("_items")
-    )
-    sliced = sliced.select(
-        *keys, "_slice", F.array_join(F.transform("_items", lambda x: x["v"]), "").alias("_text")
-    ).withColumn("_hash", F.sha2("_text", 256))
-    # Only a single-slice group needs its text; larger ones hash the slice hashes.
-    return sliced.groupBy(*keys).agg(
-        F.when(F.count(F.lit(1)) == 1, F.min("_hash"))
-        .otherwise(
-            F.sha2(
-                F.array_join(
-                    F.transform(F.array_sort(F.collect_list(F.struct("_slice", "_hash"))), lambda x: x["_hash"]), ""
-                ),
-                256,
-            )
-        )
-        .alias(into)
-    )
+    """SHA-256 over the values joined in position order: it depends on their order, not on their numbers.
+
+    What a group gathers is one hash a page of one source in one scan.
+    """
+    items = F.array_sort(F.collect_list(F.struct(C(position).alias("p"), C(value).alias("v"))))
+    return df.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(items, lambda x: x["v"]), ""), 256).alias(into))
 
 
 def health_rollup(payloads: DataFrame, raw: DataFrame, registry: DataFrame, advertised: DataFrame | None = None) -> DataFrame:
@@ -59,7 +44,7 @@ def health_rollup(payloads: DataFrame, raw: DataFrame, registry: DataFrame, adve
     items = per_item.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("found"), F.sum("_n").alias("listing_count")
     )
-    source = registry.select(C("id").alias("source_id"), "result_cap", "expected_min_items")
+    source = registry.select(C("id").alias("source_id"), "result_cap", "expected_min_items", F.coalesce("monitor_only", F.lit(False)).alias("_watched"))
     df = counted.join(digest, "source_id").join(items, "source_id", "left").join(source, "source_id")
     df = df.join(advertised, "source_id", "left") if advertised is not None else df.withColumn(
         "advertised", F.lit(None).cast("bigint")
@@ -70,7 +55,8 @@ def health_rollup(payloads: DataFrame, raw: DataFrame, registry: DataFrame, adve
     parser_ok = (kept >= F.coalesce(C("expected_min_items"), F.lit(0))) & coverage_ok(C("advertised"), kept)
     return df.select(
         "source_id",
-        F.when(parser_ok & ~capped, "healthy").otherwise("degraded").alias("status"),
+        # A page that is only watched gives no rows, so its silence must never close any.
+        F.when(parser_ok & ~capped & ~C("_watched"), "healthy").otherwise("degraded").alias("status"),
         "checked_at",
         C("checked_at").alias("last_success_at"),
         kept.alias("item_count"),
@@ -93,10 +79,20 @@ def failed_health(sources: DataFrame, now: Column, message: Column) -> DataFrame
     return _bare(sources, "failed", now, F.lit(False), message)
 
 
+def missing_settings(have: Column) -> Column:
+    return F.array_except(F.coalesce(C("required_settings"), F.array().cast("array<string>")), have)
+
+
+def active_sources(registry: DataFrame, available: Iterable[str]) -> DataFrame:
+    """Sources that have all the settings they need; the others give no listings."""
+    have = F.array(*[F.lit(x) for x in available]) if available else F.array().cast("array<string>")
+    return registry.filter(F.size(missing_settings(have)) == 0)
+
+
 def inactive_health(registry: DataFrame, available: Iterable[str], now: Column) -> DataFrame:
     """Sources whose required settings are absent produce a DISABLED row and no listings."""
     have = F.array(*[F.lit(x) for x in available]) if available else F.array().cast("array<string>")
-    missing = F.array_except(F.coalesce(C("required_settings"), F.array().cast("array<string>")), have)
+    missing = missing_settings(have)
     idle = registry.filter(F.size(missing) > 0).select(C("id").alias("source_id"), missing.alias("_missing"))
     note = F.concat(
         F.lit("Credentialed source is ready but inactive; set "), F.array_join("_missing", ", ")
@@ -153,7 +149,7 @@ def join_previous_health(health: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def reconcile_health(current: DataFrame, previous: DataFrame, registry: DataFrame) -> DataFrame:
-    """Watched pages that changed degrade; a failed run keeps its last success and last good hash."""
+    """Watched pages degrade, changed or not; a failed run keeps its last success and last good hash."""
     watched = registry.select(C("id").alias("source_id"), C("monitor_only").alias("_watched"))
     df = join_previous_health(current, previous).join(watched, "source_id", "left")
     changed = F.coalesce(
@@ -161,9 +157,11 @@ def reconcile_health(current: DataFrame, previous: DataFrame, registry: DataFram
     )
     keep = C("last_success_at").isNull() & C("previous.source_id").isNotNull()
     replaced = {
-        "status": F.when(changed & (C("status") == "healthy"), "degraded").otherwise(C("status")),
+        "status": F.when(F.coalesce("_watched", F.lit(False)) & (C("status") == "healthy"), "degraded").otherwise(C("status")),
         "changed_since_last_success": changed | C("changed_since_last_success"),
-        "message": F.when(changed, CHANGED_NOTE).otherwise(C("message")),
+        "message": F.when(changed, CHANGED_NOTE)
+        .when(F.coalesce("_watched", F.lit(False)) & (C("status") == "healthy"), WATCHED_NOTE)
+        .otherwise(C("message")),
         "last_success_at": F.when(keep, C("previous.last_success_at")).otherwise(C("last_success_at")),
         "content_hash": F.when(keep, F.coalesce("content_hash", C("previous.content_hash"))).otherwise(C("content_hash")),
     }

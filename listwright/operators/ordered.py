@@ -124,18 +124,17 @@ def dedupe_last(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     )
 
 
-def apply_cap(df: DataFrame, by: Sequence[str], order: Sequence[str], cap: Column, largest: int) -> DataFrame:
-    """Keep the first ``cap`` rows per key; ``capped`` tells whether any were cut.
+def apply_cap(df: DataFrame, by: Sequence[str], order: Sequence[str], cap: Column) -> DataFrame:
+    """Keep the first ``cap`` rows per key, all rows where the cap is NULL; ``capped`` tells whether any were cut.
 
-    ``largest`` bounds every cap, so the ranking is limited map-side before the shuffle.
+    Rows without a cap are never ranked; only those of capped keys reach a window.
     """
-    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = (
-        df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-        .filter(F.col("_rn") <= largest)
-        .filter(cap.isNull() | (F.col("_rn") <= cap))
-    )
-    return ranked.join(counted, list(by)).withColumn("capped", F.coalesce(F.col("_n") > cap, F.lit(False))).drop("_n", "_rn")
+    free = df.filter(cap.isNull()).withColumn("capped", F.lit(False))
+    bound = df.filter(cap.isNotNull())
+    counted = bound.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = bound.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rn") <= cap)
+    cut = ranked.join(counted, list(by)).withColumn("capped", F.col("_n") > cap).drop("_n", "_rn")
+    return free.unionByName(cut.select(*free.columns))
 
 
 def page(df: DataFrame, n: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listwright import schema
@@ -14,7 +14,7 @@ from listwright.operators import lifecycle as L
 from listwright.operators import serving
 from listwright.operators.classify import classify, is_public
 from listwright.operators.matching import minus_ids
-from listwright.operators.ordered import apply_cap, dedupe_first
+from listwright.operators.ordered import apply_cap, dedupe_first, dedupe_last
 from listwright.operators.resolve import resolve
 from listwright.rules.ruleset import RuleSet
 from listwright.session import cut
@@ -73,13 +73,48 @@ def save_state(state: State, root: str, scan_id: str) -> int:
     return sum(write_state(getattr(state, name), root, name, scan_id) for name in TABLES)
 
 
-def unique_rows(raw: DataFrame, registry: DataFrame, largest_cap: int) -> DataFrame:
-    """First appearance per identifier, at most the source's cap."""
+# Kinds whose pages are shards of queries are cut at their cap, first appearance first; paged boards
+# keep the last appearance; rows of the other kinds all go on, repeats meet in the merge.
+SHARD_KINDS = ("work_hub", "adzuna", "reed")
+LAST_WINS = ("charityjob", "nhs_jobs", "jobs_ac_uk", "targetjobs", "higherin", "w4mp")
+
+
+def in_order(payloads: DataFrame) -> DataFrame:
+    """Pages numbered per source over all of its query shards, so that no two rows share a place.
+
+    Shards follow each other by their first fetch, then by their query. Only page numbers are windowed: one narrow row
+    a page of one source.
+    """
+    pages = payloads.select("source_id", "query", "page_no", "fetched_at")
+    shards = pages.groupBy("source_id", "query").agg(F.min("fetched_at").alias("_at"))
+    numbered = pages.select("source_id", "query", "page_no").distinct().alias("p").join(
+        shards.alias("s"), (C("p.source_id") == C("s.source_id")) & C("p.query").eqNullSafe(C("s.query"))
+    ).select("p.source_id", "p.query", "p.page_no", "s._at")
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy("_at", "query", "page_no"))
+    numbered = numbered.select(C("source_id").alias("_s"), C("query").alias("_q"), C("page_no").alias("_p"), place.alias("_n"))
+    same = (C("source_id") == C("_s")) & C("query").eqNullSafe(C("_q")) & C("page_no").eqNullSafe(C("_p"))
+    return payloads.join(numbered, same).withColumn("page_no", C("_n").cast("int")).select(*payloads.columns)
+
+
+def distinct_order(registry: DataFrame) -> DataFrame:
+    """Sources numbered by their order, then by id: no two share a number. The registry is a small dimension."""
+    number = F.row_number().over(Window.orderBy(F.coalesce("source_ord", F.lit(0)), "id"))
+    return registry.withColumn("source_ord", number.cast(registry.schema["source_ord"].dataType))
+
+
+def unique_rows(raw: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows of each source without repeats, as its kind wants it; only query shards are cut at their cap."""
     order = F.struct("page_no", "position")
-    firsts = dedupe_first(raw, ["source_id", "source_identifier"], order)
-    caps = registry.select(C("id").alias("source_id"), "result_cap")
-    capped = apply_cap(firsts.join(caps, "source_id"), ["source_id"], ["first_ord"], C("result_cap"), largest_cap)
-    return capped.select(*raw.columns)
+    kinds = registry.select(C("id").alias("source_id"), C("ats_type").alias("_kind"), "result_cap")
+    typed = raw.join(kinds, "source_id")
+    names = [*raw.columns, "_kind", "result_cap"]
+    sharded = dedupe_first(typed.filter(C("_kind").isin(*SHARD_KINDS)), ["source_id", "source_identifier"], order)
+    sharded = apply_cap(sharded, ["source_id"], ["first_ord"], C("result_cap")).select(*names)
+    paged = dedupe_last(typed.filter(C("_kind").isin(*LAST_WINS)), ["source_id", "source_identifier"], order)
+    # The last appearance takes the place of the first.
+    paged = paged.withColumns({"page_no": C("first_ord.page_no"), "position": C("first_ord.position")}).select(*names)
+    plain = typed.filter(~C("_kind").isin(*SHARD_KINDS, *LAST_WINS)).select(*names)
+    return plain.unionByName(sharded).unionByName(paged).select(*raw.columns)
 
 
 def run_scan(
@@ -96,7 +131,10 @@ def run_scan(
     Rows keep input order through ``ord``. Stored tables are renumbered behind one another where
     their order matters.
     """
-    registry, rules = dims.registry, dims.rules
+    whole, rules = distinct_order(dims.registry), dims.rules
+    # A source that lacks its settings gives a disabled health row and nothing else.
+    registry = H.active_sources(whole, list(available_settings))
+    payloads = cut(in_order(payloads.join(registry.select(C("id").alias("source_id")), "source_id", "left_semi")), "payloads")
     raw = cut(extract.extract_all(payloads, registry), "raw")
     failures = extract.structure_failures(payloads, raw, registry)
     sources = registry.join(failures.select(C("source_id").alias("id")), "id", "left_anti")
@@ -106,12 +144,11 @@ def run_scan(
         raw, sources, extract.advertised_counts(payloads, registry),
     )
     current = rolled.unionByName(H.failed_health(failures, now, C("message"))).unionByName(
-        H.inactive_health(registry, list(available_settings), now)
+        H.inactive_health(whole, list(available_settings), now)
     )
     current = cut(H.reconcile_health(current, state.health, registry), "health")
 
-    cap = registry.agg(F.max("result_cap")).first()[0]
-    unique = unique_rows(raw, registry, cap if cap is not None else (1 << 31) - 1)
+    unique = unique_rows(raw, registry)
     records = classify(unique, registry, dims.overrides, rules, now)
     records = records.drop("source_health_at_last_check").join(
         current.select(C("source_id").alias("source_registry_id"), C("status").alias("source_health_at_last_check")),

@@ -304,7 +304,7 @@ def result_cap(spark, d):
     df = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     cap = F.nullif((C("l_orderkey") % 4).cast("int"), F.lit(0))
     # Rows without a cap keep everything, so the map-side bound is left open.
-    return O.apply_cap(df, ["l_orderkey"], ["l_linenumber", "l_partkey"], cap, (1 << 31) - 1)
+    return O.apply_cap(df, ["l_orderkey"], ["l_linenumber", "l_partkey"], cap)
 
 
 @query(
@@ -389,7 +389,7 @@ def _watchers(spark, d):
 
 @query(
     "health_rollup",
-    """select cast(user_id as varchar) as source_id, case when u >= 4 and n < 60 and not (u >= 5 and cap) then 'healthy' else 'degraded' end as status,
+    """select cast(user_id as varchar) as source_id, case when u >= 4 and n < 60 and not (u >= 5 and cap) and user_id % 7 <> 3 then 'healthy' else 'degraded' end as status,
       least(u, case when cap then 5 else u end) as item_count, n as listing_count, pages as pages_scanned, u >= 5 and cap as capped,
       u >= 4 and n < 60 as parser_ok, h as content_hash
     from (select user_id, user_id % 5 = 0 as cap, count(distinct event_type) as u, count(*) as n, count(distinct cast(ts as date)) as pages,
@@ -407,7 +407,8 @@ def health_rollup(spark, d):
     )
     raw = events.select("source_id", C("event_type").alias("source_identifier"))
     registry = events.select(C("source_id").alias("id")).distinct().select(
-        "id", F.when(C("id").cast("bigint") % 5 == 0, 5).alias("result_cap"), F.lit(4).alias("expected_min_items")
+        "id", F.when(C("id").cast("bigint") % 5 == 0, 5).alias("result_cap"), F.lit(4).alias("expected_min_items"),
+        (C("id").cast("bigint") % 7 == 3).alias("monitor_only"),
     )
     # A busy source advertises far more than it shows.
     stated = events.groupBy("source_id").agg(F.when(F.count(F.lit(1)) >= 60, 99).cast("bigint").alias("advertised"))
@@ -440,7 +441,7 @@ def replaceable_sources(spark, d):
     f"""with {S_HEALTH}, j as (select c.*, p.content_hash as ph, p.checked_at as pc, p.parser_ok as pp,
       cast(c.source_id as bigint) % 2 = 0 and p.content_hash is not null and c.content_hash <> p.content_hash as changed
       from (select * from s where is_now) c left join (select * from s where is_prev) p on p.source_id = c.source_id)
-    select source_id, case when coalesce(changed, false) then 'degraded' else status end as status, coalesce(changed, false) as changed,
+    select source_id, case when cast(source_id as bigint) % 2 = 0 and status = 'healthy' then 'degraded' else status end as status, coalesce(changed, false) as changed,
       case when parser_ok then checked_at when pp then pc end as last_success_at from j""",
 )
 def health_reconcile(spark, d):
@@ -852,7 +853,23 @@ def stream_first_last(spark, d):
     return jobs.latest(spark, jobs.drain(jobs.first_last_stream(events, "user_id", "ts"), "update"), ["user_id"])
 
 
-@query("stream_subscriptions")
+@query(
+    "stream_subscriptions",
+    """with recursive e as (select user_id, epoch(ts)::bigint as t, event_id, event_type as a,
+      row_number() over (partition by user_id order by epoch(ts)::bigint, event_id) as k from events where event_type in ('signup', 'purchase', 'error')),
+    f as (
+      select user_id, 0::bigint as k, null::varchar as status, null::bigint as expires, 0::bigint as changes, 0::bigint as t from (select distinct user_id from e)
+      union all
+      select user_id, k, case when opened then 'pending' when confirmed then 'confirmed' when ended then 'unsubscribed' else status end,
+        case when opened then t + 86400 else expires end, changes + (opened or confirmed or ended)::bigint, t
+      from (select f.user_id, e.k, f.status, f.expires, f.changes, e.t,
+          a = 'signup' and coalesce(f.status is null or f.status = 'unsubscribed' or (f.status = 'pending' and coalesce(f.expires < e.t, true)), false) as opened,
+          coalesce(a = 'purchase' and f.status = 'pending' and f.expires >= e.t, false) as confirmed,
+          coalesce(a = 'error' and f.status <> 'unsubscribed', false) as ended
+        from f join e on e.user_id = f.user_id and e.k = f.k + 1)
+    )
+    select user_id::varchar as email, max(t) as "at", max_by(status, k) as status, max(changes) as changes from f group by user_id having max_by(coalesce(status, ''), k) <> ''""",
+)
 def stream_subscriptions(spark, d):
     """Signups subscribe, purchases confirm, errors cancel: a state machine per address."""
     events = jobs.file_stream(spark, d, "events", EVENTS).filter("event_type in ('signup', 'purchase', 'error')")
@@ -861,7 +878,8 @@ def stream_subscriptions(spark, d):
         C("user_id").cast("string").alias("email"), "event_id", action.alias("action"), F.unix_timestamp("ts").alias("at"),
         (F.unix_timestamp("ts") + 86400).alias("expires"),
     )
-    return jobs.latest(spark, jobs.drain(jobs.subscription_stream(shaped), "update"), ["email"])
+    path = jobs.drain(jobs.subscription_events(shaped), "append")
+    return jobs.subscription_status(spark.read.parquet(path))
 
 
 @query("stream_observations", "select count(*) as rows from (select distinct user_id, event_type, ts from events)")

@@ -31,7 +31,9 @@ def read_payloads(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 
 
 def with_text(payloads: DataFrame) -> DataFrame:
-    return payloads.withColumns({"body": F.decode("payload", "UTF-8"), "payload_hash": F.sha2("payload", 256)})
+    """Decoded body and hash; bytes that are not UTF-8 become the replacement character, so no page ends the job."""
+    body = F.make_valid_utf8(C("payload").cast("string"))
+    return payloads.withColumns({"body": body, "payload_hash": F.sha2("payload", 256)})
 
 
 def of_kind(payloads: DataFrame, registry: DataFrame, kind: str) -> DataFrame:

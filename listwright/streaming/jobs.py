@@ -7,12 +7,10 @@ batch that is retried after a lost executor writes the same folder again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from listwright.operators.ordered import pick_last
 from listwright.session import new_path
@@ -46,10 +44,15 @@ def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     return pick_last(spark.read.parquet(path), list(keys), C("version")).drop("version", "batch_id")
 
 
-def rate_limit_stream(events: DataFrame, key: str, at: str, minutes: int, limit: int, late: str = "2 hours") -> DataFrame:
-    """Requests per key and tumbling window; windows older than the watermark leave the state."""
+def rate_limit_stream(events: DataFrame, key: str, at: str, minutes: int, limit: int, late: str | None = None) -> DataFrame:
+    """Requests per key and tumbling window.
+
+    Every event counts, whenever it arrives, and windows stay in the state. With ``late`` a window leaves the state
+    once it is older than that, and events that arrive even later are not counted: only for sources that keep to it.
+    Old windows leave the result by ``digest.prune_windows`` whatever the state holds.
+    """
     counted = (
-        events.withWatermark(at, late)
+        (events.withWatermark(at, late) if late else events)
         .groupBy(C(key), F.window(C(at), f"{minutes} minutes"))
         .agg(F.count(F.lit(1)).alias("request_count"))
     )
@@ -58,11 +61,13 @@ def rate_limit_stream(events: DataFrame, key: str, at: str, minutes: int, limit:
     )
 
 
-def deduplicated_observations(observations: DataFrame, late: str = "90 days") -> DataFrame:
-    """Each observation once; its key is remembered for the retention time."""
-    return observations.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(
-        ["source_id", "source_identifier", "observed_at"]
-    )
+def deduplicated_observations(observations: DataFrame, late: str | None = None) -> DataFrame:
+    """Each observation once, whenever it arrives. With ``late`` keys older than that are forgotten and rows that
+    arrive even later are dropped: only for sources that keep to it."""
+    keys = ["source_id", "source_identifier", "observed_at"]
+    if late is None:
+        return observations.dropDuplicates(keys)
+    return observations.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(keys)
 
 
 # --- absence closure ------------------------------------------------------------------------
@@ -91,35 +96,38 @@ def absence_status(last_seen: DataFrame, safe_scans: DataFrame, limit: int = 3)
 
 # --- subscriptions --------------------------------------------------------------------------
 
-SUBSCRIPTION_STATE = "status string, expires long"
-SUBSCRIPTION_OUT = "email string, at long, status string, changes long"
-
-
-def _subscribe(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Requests, confirmations and cancellations of one address in time order."""
-    status, expires = state.get if state.exists else (None, None)
-    rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-    changes = 0
-    for action, at, until in rows[["action", "at", "expires"]].itertuples(index=False):
-        lapsed = expires is None or expires < at
-        if action == "subscribe" and (status is None or status in ("unsubscribed", "bounced") or (status == "pending" and lapsed)):
-            status, expires, changes = "pending", int(until), changes + 1
-        elif action == "confirm" and status == "pending" and not lapsed:
-            status, changes = "confirmed", changes + 1
-        elif action == "unsubscribe" and status is not None and status != "unsubscribed":
-            status, changes = "unsubscribed", changes + 1
-    if status is not None:
-        state.update((status, expires))
-        yield pd.DataFrame(
-            [(key[0], int(rows["at"].max()), status, changes)], columns=["email", "at", "status", "changes"]
-        )
 
 
-def subscription_stream(events: DataFrame) -> DataFrame:
-    """Subscription state per address from ``(email, event_id, action, at, expires)``, times in epoch seconds."""
-    return events.groupBy("email").applyInPandasWithState(
-        _subscribe, SUBSCRIPTION_OUT, SUBSCRIPTION_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+def subscription_events(events: DataFrame) -> DataFrame:
+    """Requests as they arrive, each once; the sink appends them, so their order of arrival does not matter."""
+    wanted = events.select("email", "event_id", "action", "at", "expires")
+    return wanted.dropDuplicates(["email", "event_id"])
+
+
+def subscription_status(events: DataFrame) -> DataFrame:
+    """``(email, at, status, changes)`` after all requests of each address ``(email, event_id, action, at, expires)``.
+
+    Requests are folded in time order, whatever order they came in; times are epoch seconds. An address gathers its
+    own requests only.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("at", "event_id", "action", "expires")))
+    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(None).cast("bigint").alias("expires"), F.lit(0).cast("bigint").alias("changes"))
+
+    def step(state: Column, event: Column) -> Column:
+        status, lapsed = state["status"], state["expires"].isNull() | (state["expires"] < event["at"])
+        over = status.isNull() | status.isin("unsubscribed", "bounced")
+        opened = (event["action"] == "subscribe") & (over | ((status == "pending") & lapsed))
+        confirmed = (event["action"] == "confirm") & (status == "pending") & ~lapsed
+        ended = (event["action"] == "unsubscribe") & (status != "unsubscribed")
+        opened, confirmed, ended = (F.coalesce(x, F.lit(False)) for x in (opened, confirmed, ended))
+        return F.struct(
+            F.when(opened, "pending").when(confirmed, "confirmed").when(ended, "unsubscribed").otherwise(status).alias("status"),
+            F.when(opened, event["expires"].cast("bigint")).otherwise(state["expires"]).alias("expires"),
+            (state["changes"] + (opened | confirmed | ended).cast("bigint")).alias("changes"),
+        )
+
+    folded = events.groupBy("email").agg(ordered.alias("e")).withColumn("s", F.aggregate("e", start, step))
+    return folded.select("email", F.array_max("e")["at"].alias("at"), "s.status", "s.changes").filter("status is not null")
 
 
 # --- snapshot merge per micro-batch ---------------------------------------------------------
@@ -131,10 +139,6 @@ def first_last_stream(events: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, columns: str, files: int = 64) -> DataFrame:
-    """Stream over one table's files in a folder; ``files`` bounds a micro-batch."""
-    return (
-        spark.readStream.schema(columns)
-        .option("maxFilesPerTrigger", files)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(folder)
-    )
+    """Stream over one table, which may be one file or a folder of files; ``files`` bounds a micro-batch."""
+    # A pattern that matches the table's own name: a stream takes a plain path for a folder only.
+    return spark.readStream.schema(columns).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}.parque[t]")
