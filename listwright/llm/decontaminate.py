@@ -102,6 +102,9 @@ class Items:
         # which that many words hold fewer pairs of the item cannot match, so passing it over loses nothing.
         self.least = np.maximum(1, sizes - 1 - 2 * self.edits)
         pairs = [np.unique(pair_hashes(w)) for w in self.words]
+        # The same for different pairs, so that a text which repeats one pair over and over is passed over at once.
+        self.different = np.maximum(1, np.array([len(p) for p in pairs], dtype=np.int64) - 2 * self.edits)
+        self.own = pairs
         every = np.concatenate(pairs) if pairs else np.zeros(0, dtype=np.uint64)
         owner = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs]) if pairs else np.zeros(0, dtype=np.int64)
         order = np.argsort(every, kind="stable")
@@ -119,23 +122,25 @@ class Items:
         return self.keys[k]
 
     def shared_pairs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the text's word pairs that items have, and the item of each: a row for every item."""
+        """Places of the text's word pairs that items have, and the number of each pair."""
         pairs = pair_hashes(words)
         some = np.flatnonzero(self.low[pairs & np.uint64((1 << 20) - 1)])
         at = np.minimum(np.searchsorted(self.pairs, pairs[some]), len(self.pairs) - 1)
         same = self.pairs[at] == pairs[some]
-        some, at = some[same], at[same]
-        count = self.count[at]
-        return np.repeat(some, count), gather(self.owner, self.first[at], count)
+        return some[same], at[same]
+
+    def items_of(self, pairs: np.ndarray) -> np.ndarray:
+        return gather(self.owner, self.first[pairs], self.count[pairs])
 
     def matches(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
         """``(item index, edits, first word, word after the last)`` of every item that the text holds."""
         if len(words) < 2 or not self.words:
             return []
-        places, items = self.shared_pairs(words)
+        places, pairs = self.shared_pairs(words)
         out = []
-        for k in np.flatnonzero(np.bincount(items, minlength=len(self.words)) >= self.least).tolist():
-            starts = self._windows(places[items == k], len(words), k)
+        present = np.bincount(self.items_of(np.unique(pairs)), minlength=len(self.words))
+        for k in np.flatnonzero(present >= self.different).tolist():
+            starts = self._windows(places[np.isin(self.pairs[pairs], self.own[k])], len(words), k)
             # Windows close to each other are one place: a collision of any of them has it compared exactly, once.
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > len(self.words[k])) + 1):
                 if len(run) and self._collides(words, k, run):
@@ -148,7 +153,7 @@ class Items:
         if size < n - d:
             return places[:0]
         marks = np.zeros(size + n + d, dtype=np.int64)
-        marks[np.unique(places) + 1] = 1
+        marks[places + 1] = 1
         sums = np.cumsum(marks)
         # The pairs of n + d words are one fewer than the words.
         reach = sums[n + d - 1 : size + n + d - 1] - sums[:size]
