@@ -855,8 +855,8 @@ def stream_first_last(spark, d):
 
 @query(
     "stream_subscriptions",
-    """with recursive e as (select user_id, epoch(ts)::bigint as t, event_id, event_type as a,
-      row_number() over (partition by user_id order by epoch(ts)::bigint, event_id) as k from events where event_type in ('signup', 'purchase', 'error')),
+    """with recursive e as (select user_id, floor(epoch(ts))::bigint as t, event_id, event_type as a,
+      row_number() over (partition by user_id order by floor(epoch(ts))::bigint, event_id) as k from events where event_type in ('signup', 'purchase', 'error')),
     f as (
       select user_id, 0::bigint as k, null::varchar as status, null::bigint as expires, 0::bigint as changes, 0::bigint as t from (select distinct user_id from e)
       union all
