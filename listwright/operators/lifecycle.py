@@ -282,18 +282,18 @@ def _unreplaced(old: DataFrame, current: DataFrame, health: DataFrame) -> DataFr
 # --- observations ---------------------------------------------------------------------------
 
 
-def retain(obs: DataFrame, now: Column, at: str, order: list[Column], days: int = 90, rows: int = 5000) -> DataFrame:
-    """Rows of the last ``days``, then the last ``rows`` of them; ``order`` is newest first."""
+def retain(obs: DataFrame, now: Column, at: str, order: list[Column], days: int = 90, rows: int | None = None) -> DataFrame:
+    """Rows of the last ``days``; of them the last ``rows`` if that is given. ``order`` is newest first."""
     young = obs.filter(C(at) >= now - F.expr(f"INTERVAL {days} DAYS"))
-    return young.orderBy(*order).limit(rows)
+    return young if rows is None else young.orderBy(*order).limit(rows)
 
 
-def append_observations(old: DataFrame, new: DataFrame, now: Column, days: int = 90, rows: int = 5000) -> DataFrame:
+def append_observations(old: DataFrame, new: DataFrame, now: Column, days: int = 90, rows: int | None = None) -> DataFrame:
     """Retained history plus this scan's rows; unreadable times are dropped."""
     young = old.filter(C("observed_at").isNotNull() & (C("observed_at") >= now - F.expr(f"INTERVAL {days} DAYS")))
     stacked = young.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))
     order = [F.desc("_batch"), F.desc("observed_at"), F.desc("source_id"), F.desc("source_identifier"), F.desc("role_id")]
-    return stacked.orderBy(*order).limit(rows).drop("_batch")
+    return (stacked if rows is None else stacked.orderBy(*order).limit(rows)).drop("_batch")
 
 
 def grid_rank(scans: DataFrame, scan: str) -> DataFrame:

@@ -313,7 +313,7 @@ def result_cap(spark, d):
 )
 def retention_tail(spark, d):
     at = F.lit("2024-01-30").cast("timestamp")
-    return L.retain(table(spark, d, "events"), at, "ts", [F.desc("ts"), F.desc("event_id")], days=20).select("event_id")
+    return L.retain(table(spark, d, "events"), at, "ts", [F.desc("ts"), F.desc("event_id")], days=20, rows=5000).select("event_id")
 
 
 @query("run_log_tail", "select o_orderkey from orders order by o_orderdate desc, o_orderkey desc limit 100")
