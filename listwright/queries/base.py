@@ -27,9 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input of few splits; a large input has plenty and is left as it is."""
+    """Use every core on an input of few files; the rows are the same either way."""
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    return df.repartition(want) if len(df.inputFiles()) < want else df
 
 
 # --- SQL spellings used in many oracles -----------------------------------------------------

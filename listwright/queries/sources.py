@@ -54,7 +54,7 @@ def _json_inputs(spark, d):
     docs = _documents(spark, d)
     n, day = C("doc_id").cast("string"), F.date_add(F.lit("2026-01-01").cast("date"), (C("doc_id") % 50).cast("int"))
     iso, link = day.cast("string"), F.concat(F.lit("/j/"), n)
-    title, body = F.concat(F.lit("T "), n), F.concat(F.lit("<p>"), F.substring("text", 1, 200), F.lit("</p>"))
+    title, body = F.concat(F.lit("T "), n), F.concat(F.lit("<p>"), C("text"), F.lit("</p>"))
     s = lambda **k: F.struct(*[v.alias(a) for a, v in k.items()])
     shapes = {
         "greenhouse": s(id=C("doc_id"), title=title, absolute_url=link, location=s(name=C("lang")), content=body, published_at=iso),
@@ -87,7 +87,7 @@ S_KIND = "['greenhouse', 'lever', 'ashby', 'smartrecruiters', 'teamtailor', 'gen
     "extract_json_kinds",
     f"""select {S_KIND} || '-' || source as source_id, cast(doc_id as varchar) as source_identifier, {S_KIND} as source_type, 'T ' || doc_id as title,
       'https://' || {S_KIND} || '-' || source || '.example.com/j/' || doc_id as source_url, lang as location,
-      md5({s_html("substr(text, 1, 200)")}) as h, date '2026-01-01' + cast(doc_id % 50 as integer) as published_date,
+      md5({s_html("text")}) as h, date '2026-01-01' + cast(doc_id % 50 as integer) as published_date,
       case when doc_id % 6 = 5 then doc_id % 4 = 0 end as paid from documents""",
 )
 def extract_json_kinds(spark, d):

@@ -167,7 +167,7 @@ def listings(spark: SparkSession, d: str) -> DataFrame:
         "source_id": C("source"),
         "source_identifier": n.cast("string"),
         "employer": F.concat_ws(" ", "source", "lang"),
-        "title": F.substring(lines[0], 1, 60),
+        "title": lines[0],
         "source_url": F.concat(F.lit("https://"), "source", F.lit(".example.com/listing/"), n.cast("string")),
         "application_url": link,
         "source_type": F.lit("generic_json"),
@@ -248,7 +248,7 @@ LISTINGS_SQL = f"""
 docs as (select d.doc_id as n, d.text, d.lang, d.source, cast(substr(d.source, 4) as integer) as i, l.quality, l.toxic
   from documents d left join labels l using (doc_id)),
 listings as (select n, i, lang, text, source as source_id, source || ' ' || lang as employer,
-  substr(split_part(text, chr(10), 1), 1, 60) as title,
+  split_part(text, chr(10), 1) as title,
   'https://' || source || '.example.com/listing/' || n as source_url,
   'https://' || source || '.example.com//jobs/' || md5(text) || '/?utm_source=feed&lang=' || lang as application_url,
   {s_list(AUTHORITIES)}[i % 6 + 1] as source_authority,
