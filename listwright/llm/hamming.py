@@ -23,14 +23,13 @@ class Settings:
     cosine: float = 0.9
     #: Vectors that the rotation is learned from: those of least hash. Every vector is indexed.
     sample_rows: int = 4096
-    #: Chance that a pair at the bound of similarity shares a table's key, over all tables.
+    #: Chance that a pair at the bound of similarity shares a table's key, over all tables. Keys get shorter until
+    #: ``most_tables`` tables reach it.
     recall: float = 0.97
     rounds: int = 30
     most_tables: int = 160
     #: Vectors of one block of a cell; a task compares two blocks at a time.
     block: int = 256
-    #: Share of code bits by which a pair may differ beyond the share that its angle leads to.
-    slack: float = 0.08
 
 
 def unit(values) -> np.ndarray | None:
@@ -47,38 +46,60 @@ def unit(values) -> np.ndarray | None:
     return v / math.sqrt(float(v @ v))
 
 
+def turned(sample: np.ndarray, mean: np.ndarray, theta: float) -> np.ndarray:
+    """Each unit vector turned by ``theta`` to a random side that keeps its part along the mean, as far as one does:
+    what all vectors have in common does not set a pair apart, so a pair's whole difference lies beside it."""
+    side = np.random.default_rng(7).standard_normal(sample.shape)
+    side -= (side * sample).sum(axis=1, keepdims=True) * sample
+    size = np.linalg.norm(mean)
+    axis = mean / size if size > 0 else mean
+    along = (sample @ axis)[:, None]
+    across = axis - along * sample
+    rest = np.linalg.norm(across, axis=1, keepdims=True)
+    across /= np.where(rest > 1e-9, rest, 1.0)
+    part = np.where(rest > 1e-9, np.clip(along * math.tan(theta / 2) / np.where(rest > 1e-9, rest, 1.0), -1, 1), 0.0)
+    side -= (side * across).sum(axis=1, keepdims=True) * across
+    norms = np.linalg.norm(side, axis=1, keepdims=True)
+    side = part * across + np.sqrt(1 - part**2) * side / np.where(norms > 0, norms, 1.0)
+    return math.cos(theta) * sample + math.sin(theta) * side
+
+
 class Codes:
     """A mean and rotations after principal components, each refined until bits and rotated values agree best."""
 
     def __init__(self, sample: np.ndarray, key_bits: int, s: Settings):
-        rng = np.random.default_rng(7)
         self.mean = sample.mean(axis=0)
         centred = sample - self.mean
-        dim = sample.shape[1]
-        width = min(dim, 64)
+        width = min(sample.shape[1], 64)
         _, vectors = np.linalg.eigh(centred.T @ centred)
         basis = vectors[:, ::-1][:, :width]
-        projected = centred @ basis
-        theta = math.acos(s.cosine)
-        side = rng.standard_normal(sample.shape)
-        side -= (side * sample).sum(axis=1, keepdims=True) * sample
-        norms = np.linalg.norm(side, axis=1, keepdims=True)
-        turned = math.cos(theta) * sample + math.sin(theta) * side / np.where(norms > 0, norms, 1.0)
-        self.key_bits, self.maps, missed, tables = min(key_bits, width), [], 1.0, 0
-        per_map = max(1, width // self.key_bits)
-        while tables < s.most_tables and missed > 1 - s.recall:
-            rotation = np.linalg.qr(rng.standard_normal((width, width)))[0]
+        projected, beside = centred @ basis, turned(sample, self.mean, math.acos(s.cosine)) - self.mean
+        self.width, rotations, same = width, [], []
+
+        def learn(m: int) -> None:
+            rotation = np.linalg.qr(np.random.default_rng((7, m)).standard_normal((width, width)))[0]
             for _ in range(s.rounds):
                 bits = np.where(projected @ rotation >= 0, 1.0, -1.0)
                 left, _, right = np.linalg.svd(bits.T @ projected)
                 rotation = (left @ right).T
-            self.maps.append(basis @ rotation)
-            # The share of sample vectors that keep a table's key when they are turned by the angle of the bound.
-            same = (centred @ self.maps[-1] >= 0) == ((turned - self.mean) @ self.maps[-1] >= 0)
-            for k in range(per_map):
-                missed *= 1.0 - same[:, k * self.key_bits : (k + 1) * self.key_bits].all(axis=1).mean()
+            rotations.append(basis @ rotation)
+            same.append((centred @ rotations[m] >= 0) == (beside @ rotations[m] >= 0))
+
+        # The share of sample vectors that keep no table's key when they are turned by the angle of the bound.
+        for self.key_bits in range(min(key_bits, width), 0, -1):
+            self.per_map, tables, apart = width // self.key_bits, 0, np.ones(len(sample), dtype=bool)
+            while tables < s.most_tables and apart.mean() > 1 - s.recall:
+                m, k = divmod(tables, self.per_map)
+                if m == len(rotations):
+                    learn(m)
+                apart &= ~same[m][:, k * self.key_bits : (k + 1) * self.key_bits].all(axis=1)
                 tables += 1
-        self.per_map, self.width = per_map, width
+            self.tables, self.recall = tables, 1 - apart.mean()
+            if self.recall >= s.recall:
+                break
+        else:
+            raise ValueError(f"{s.most_tables} tables find {self.recall:.3f} of pairs at the bound, fewer than {s.recall}")
+        self.maps = rotations[: -(-self.tables // self.per_map)]
 
     def bits(self, vectors: np.ndarray) -> np.ndarray:
         return np.concatenate([(vectors - self.mean) @ m >= 0 for m in self.maps], axis=1)
@@ -87,11 +108,11 @@ class Codes:
         """One key a table; keys of different tables differ."""
         out = []
         powers = np.uint64(1) << np.arange(self.key_bits, dtype=np.uint64)
-        for m in range(len(self.maps)):
-            for k in range(self.per_map):
-                low = m * self.width + k * self.key_bits
-                value = (bits[:, low : low + self.key_bits].astype(np.uint64) * powers).sum(axis=1, dtype=np.uint64)
-                out.append(mix(value, 1 + len(out)))
+        for n in range(self.tables):
+            m, k = divmod(n, self.per_map)
+            low = m * self.width + k * self.key_bits
+            value = (bits[:, low : low + self.key_bits].astype(np.uint64) * powers).sum(axis=1, dtype=np.uint64)
+            out.append(mix(value, 1 + n))
         return np.stack(out, axis=1).view(np.int64)
 
 
@@ -134,7 +155,6 @@ def near_vectors(spark: SparkSession, table: DataFrame, settings: Settings = Set
     width = max(set(sizes), key=lambda w: (sizes.count(w), w))
     codes = Codes(np.stack([np.frombuffer(r["unit"]) for r in sample if len(r["unit"]) == width]), max(8, min(24, math.ceil(math.log2(n + 1)))), s)
     sent = spark.sparkContext.broadcast(codes)
-    total_bits = len(codes.maps) * codes.width
     theta = math.acos(s.cosine)
 
     def encode(batches):
@@ -142,35 +162,16 @@ def near_vectors(spark: SparkSession, table: DataFrame, settings: Settings = Set
             if not batch.num_rows:
                 continue
             bits = sent.value.bits(_vectors(batch.column(1)))
-            code = [x.tobytes() for x in np.packbits(bits, axis=1)]
             keys = pa.array(list(sent.value.keys(bits)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code, pa.binary()), keys], ["row", "code", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys], ["row", "keys"])
 
     usable = rows.filter(F.octet_length("unit") == width)
-    coded = scratch.keep(usable.select("row", "unit").mapInArrow(encode, "row bigint, code binary, keys array<bigint>"), "codes")
+    coded = usable.select("row", "unit").mapInArrow(encode, "row bigint, keys array<bigint>")
     keyed = scratch.keep(coded.select("row", F.explode("keys").alias("key")), "keys")
 
-    def screened(pairs: DataFrame, codes_of: DataFrame, bound: str) -> DataFrame:
-        """Pairs ``(a, b, ...)`` whose codes differ by no more bits than the angle ``bound`` allows with slack."""
-
-        def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                share = np.bitwise_count(a ^ b).sum(axis=1) / total_bits
-                near = share <= np.asarray(batch.column(4)) / math.pi + s.slack
-                yield batch.select(["a", "b"]).filter(pa.array(near))
-
-        left, right = codes_of.select(C("id").alias("a"), C("code").alias("xa"), C("reach").alias("ra")), codes_of.select(C("id").alias("b"), C("code").alias("xb"), C("reach").alias("rb"))
-        joined = pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb", F.expr(bound).alias("most"))
-        return joined.mapInArrow(run, "a bigint, b bigint")
-
     # Cells: each vector goes to the least vector that shares a bucket and lies within half the angle.
     pivots = keyed.groupBy("key").agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "b")
     pairs = keyed.join(pivots, "key").filter("row <> b").select(C("row").alias("a"), "b").distinct()
-    flat = coded.select(C("row").alias("id"), "code", F.lit(0.0).alias("reach"))
-    pairs = screened(pairs, flat, f"{theta / 2} + ra + rb")
 
     def angles(batches):
         for batch in batches:
@@ -179,10 +180,13 @@ def near_vectors(spark: SparkSession, table: DataFrame, settings: Settings = Set
             dot = np.einsum("ij,ij->i", _vectors(batch.column(2)), _vectors(batch.column(3)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.arccos(np.clip(dot, -1, 1)))], ["a", "b", "angle"])
 
-    units = usable.select("row", "unit")
-    joined = pairs.join(units.select(C("row").alias("a"), C("unit").alias("xa")), "a").join(units.select(C("row").alias("b"), C("unit").alias("xb")), "b")
+    def apart(pairs: DataFrame, units: DataFrame) -> DataFrame:
+        """``(a, b, angle)`` of pairs of rows."""
+        joined = pairs.join(units.select(C("row").alias("a"), C("unit").alias("xa")), "a").join(units.select(C("row").alias("b"), C("unit").alias("xb")), "b")
+        return joined.select("a", "b", "xa", "xb").mapInArrow(angles, "a bigint, b bigint, angle double")
+
     # A little inside half the angle, so that rounding never puts two members of a cell beyond the bound.
-    near = joined.select("a", "b", "xa", "xb").mapInArrow(angles, "a bigint, b bigint, angle double").filter(C("angle") <= theta / 2 - 1e-6)
+    near = apart(pairs, usable.select("row", "unit")).filter(C("angle") <= theta / 2 - 1e-6)
     chosen = near.groupBy("a").agg(F.min(F.struct("b", "angle")).alias("m"))
     cells = usable.select("row", "vec_id", "unit").join(chosen.select(C("a").alias("row"), "m"), "row", "left").select(
         "row", "vec_id", "unit", F.coalesce("m.b", "row").alias("cell"), F.coalesce("m.angle", F.lit(0.0)).alias("angle")
@@ -196,8 +200,10 @@ def near_vectors(spark: SparkSession, table: DataFrame, settings: Settings = Set
     crowded = met.groupBy("key").agg(F.min("cell").alias("x"), F.max("cell").alias("y")).filter("x <> y").select("key")
     met = scratch.keep(met.join(crowded, "key"), "met")
     pairs = met.select("key", C("cell").alias("a")).join(met.select("key", C("cell").alias("b")), "key").filter("a < b").select("a", "b").distinct()
-    centres = coded.select(C("row").alias("cell"), "code").join(sizes, "cell").select(C("cell").alias("id"), "code", "reach")
-    pairs = scratch.keep(screened(pairs, centres, f"{theta} + ra + rb"), "pairs")
+    # Angles keep the triangle inequality: members within the bound need centres within it and both cells' reaches.
+    pairs = apart(pairs, cells.filter("row = cell").select("row", "unit"))
+    pairs = pairs.join(sizes.select(C("cell").alias("a"), C("reach").alias("ra")), "a").join(sizes.select(C("cell").alias("b"), C("reach").alias("rb")), "b")
+    pairs = scratch.keep(pairs.filter(C("angle") <= theta + C("ra") + C("rb") + 1e-6).select("a", "b"), "pairs")
 
     def blocks(key, group):
         return pa.table({
