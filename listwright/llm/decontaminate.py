@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: random-walk embedding of word windows, bit sampling, exact edit distance."""
+"""Benchmark passages in documents: exact bounds on shared word pairs, exact word edit distance."""
 
 from __future__ import annotations
 
@@ -15,8 +15,6 @@ from listwright.llm.storage import small_batches
 from listwright.llm.words import BareWordHashes, fold, mix
 
 C = F.col
-#: Stands after the end of a window.
-PAD = 0x5DEECE66D
 
 
 @dataclass(frozen=True)
@@ -25,46 +23,10 @@ class Settings:
     edits: float = 0.2
     #: Items of fewer words say too little and match nothing.
     least_words: int = 8
-    embeddings: int = 4
-    tables: int = 24
-    sampled: int = 3
     #: Words of the items that go to the executors at once; a larger benchmark takes several passes.
     block_words: int = 2_000_000
 
 
-def walk(words: np.ndarray, starts: np.ndarray, n: int, embedding: int) -> np.ndarray:
-    """The random walk of each window of ``n`` words: 3 n steps that repeat a symbol or go on, as a hash of step and
-    symbol says. Sequences within few edits of each other fall into step again, so their walks differ in few places.
-    """
-    low = int(starts[0])
-    region = np.full(int(starts[-1]) - low + n + 1, PAD, dtype=np.uint64)
-    known = words[low : low + len(region) - 1]
-    region[: len(known)] = known
-    steps = mix(np.arange(3 * n, dtype=np.uint64), 101 + embedding)
-    go = (mix(region[None, :] ^ steps[:, None]) & np.uint64(1)).astype(np.intp)
-    at, last = starts - low, starts - low + n
-    places = np.empty((3 * n, len(starts)), dtype=np.intp)
-    for j in range(3 * n):
-        places[j] = at
-        at = np.minimum(at + go[j, at], last)
-    out = region[places]
-    # A walk that has passed its window stays on the mark of its end.
-    out[places == last[None, :]] = PAD
-    return out.T
-
-
-def table_keys(walks: np.ndarray, embedding: int, s: Settings) -> np.ndarray:
-    """Keys of every table: hashes of ``sampled`` places of the walk. The places depend on the length only."""
-    length = walks.shape[1]
-    rng = np.random.default_rng((length, embedding))
-    # Late places are past the end of most walks, so the sample is taken from the first two thirds.
-    places = rng.integers(0, max(1, 2 * length // 3), size=(s.tables, s.sampled))
-    keys = np.zeros((walks.shape[0], s.tables), dtype=np.uint64)
-    for k in range(s.sampled):
-        keys = mix(keys ^ walks[:, places[:, k]], 7 + k)
-    return keys
-
-
 def distances(a: np.ndarray, b: np.ndarray, free_start: bool) -> np.ndarray:
     """Word edit distance of ``a`` to every prefix of ``b``; with ``free_start`` to the best run ending there."""
     steps = np.arange(len(b) + 1)
@@ -77,12 +39,24 @@ def distances(a: np.ndarray, b: np.ndarray, free_start: bool) -> np.ndarray:
     return row
 
 
-def nearest_span(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
-    """Least word edit distance of ``item`` to a run of ``region``: edits, start and end of the first shortest such run."""
+def occurrences(item: np.ndarray, region: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """Runs of ``region`` within ``most`` word edits of ``item``, best first and none over another: edits, start, end.
+
+    Of equal ones the first end counts, and the shortest run to it; then the words left and right of it are searched.
+    """
+    reach, out = len(item) + most, []
     forward = distances(item, region, True)
-    end = int(np.argmin(forward))
-    backward = distances(item[::-1], region[:end][::-1], False)
-    return int(forward[end]), end - int(np.argmin(backward)), end
+    while forward[end := int(np.argmin(forward))] <= most:
+        floor = max((high for _, _, high in out if high <= end), default=0)
+        floor = max(floor, end - reach)
+        backward = distances(item[::-1], region[floor:end][::-1], False)
+        low = end - int(np.argmin(backward))
+        # Runs that end later must now start at this end; a longer way off none reaches back to it.
+        top = min(end + reach, min((start for _, start, _ in out if start >= end), default=len(region)))
+        out.append((int(forward[end]), low, end))
+        forward[end : top + 1] = distances(item, region[end:top], True)
+        forward[min(low + 1, end) : end + 1] = reach + 1
+    return out
 
 
 class Items:
@@ -90,7 +64,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], s: Settings):
         memo = BareWordHashes()
-        self.s, self.words, self.ids = s, [], []
+        self.words, self.ids = [], []
         for item_id, text in rows:
             words = memo.of(fold(text).split())
             if len(words) >= s.least_words:
@@ -112,14 +86,6 @@ class Items:
         self.owner, self.first, self.count = owner[order], first, count
         self.low = np.zeros(1 << 20, dtype=bool)
         self.low[self.pairs & np.uint64((1 << 20) - 1)] = True
-        self.keys: dict[int, list[np.ndarray]] = {}
-
-    def keys_of(self, k: int) -> list[np.ndarray]:
-        """The item's key in every table of every embedding."""
-        if k not in self.keys:
-            words, start = self.words[k], np.zeros(1, dtype=np.intp)
-            self.keys[k] = [table_keys(walk(words, start, len(words), e), e, self.s)[0] for e in range(self.s.embeddings)]
-        return self.keys[k]
 
     def shared_pairs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the text's word pairs that items have, and the number of each pair."""
@@ -141,9 +107,9 @@ class Items:
         present = np.bincount(self.items_of(np.unique(pairs)), minlength=len(self.words))
         for k in np.flatnonzero(present >= self.different).tolist():
             starts = self._windows(places[np.isin(self.pairs[pairs], self.own[k])], len(words), k)
-            # Windows close to each other are one place: a collision of any of them has it compared exactly, once.
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > len(self.words[k])) + 1):
-                if len(run) and self._collides(words, k, run):
+            # Windows close to each other are one place, compared once; no two places share a word.
+            for run in np.split(starts, np.flatnonzero(np.diff(starts) > len(self.words[k]) + 2 * self.edits[k]) + 1):
+                if len(run):
                     out += self._verified(words, k, int(run[0]), int(run[-1]))
         return out
 
@@ -159,20 +125,11 @@ class Items:
         reach = sums[n + d - 1 : size + n + d - 1] - sums[:size]
         return np.flatnonzero(reach >= self.least[k])
 
-    def _collides(self, words: np.ndarray, k: int, run: np.ndarray) -> bool:
-        """Does the walk of a window share a table's key with the item's walk?"""
-        n = len(self.words[k])
-        for low in range(0, len(run), 2048):
-            for e, own in enumerate(self.keys_of(k)):
-                if (table_keys(walk(words, run[low : low + 2048], n, e), e, self.s) == own).any():
-                    return True
-        return False
-
     def _verified(self, words: np.ndarray, k: int, first: int, last: int) -> list[tuple[int, int, int, int]]:
         item, d = self.words[k], int(self.edits[k])
         start = max(0, first - d)
-        edits, low, high = nearest_span(item, words[start : last + len(item) + d])
-        return [(k, edits, start + low, start + high)] if edits <= d else []
+        found = occurrences(item, words[start : last + len(item) + d], d)
+        return [(k, edits, start + low, start + high) for edits, low, high in found]
 
 
 def pair_hashes(words: np.ndarray) -> np.ndarray:
