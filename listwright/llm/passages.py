@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,20 +28,36 @@ class Settings:
     #: 12 bands of 3 values: a pair of similarity 0.75 shares a band with probability 0.998.
     bands: int = 12
     rows: int = 3
-    #: Of the shingles of all documents one in so many, chosen by hash, is counted to find the parts of a text in
-    #: which anything repeats. A passage of 50 words has none of them with probability 0.002.
-    one_in: int = 8
+
+    @property
+    def window(self) -> int:
+        """Shingles of the run that two similar paragraphs of different shingles have in common at least.
+
+        A break between common runs costs each side ``shingle - 1`` shingles, and similarity bounds their number.
+        """
+        least = self.words - self.shingle + 1
+        common = -(-2 * least * self.percent // (100 + self.percent))
+        runs = [common]
+        if self.percent < 100:
+            # With so many breaks at least so many shingles are in common.
+            runs += [-(-max(common, -(-2 * (self.shingle - 1) * b * self.percent // (100 - self.percent))) // (b + 1)) for b in range(1, least + 1)]
+        return max(1, min(runs))
 
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 ENDS = (b".", b"!", b"?", b'."', b'!"', b'?"', b".)", "…".encode(), "。".encode())
 
 
-def sampled(hashes: np.ndarray, s: Settings) -> np.ndarray:
-    """Places of the chosen shingles."""
-    if len(hashes) < s.shingle:
+def chosen_places(shingles: np.ndarray, s: Settings) -> np.ndarray:
+    """Places of the shingles of least hash in any ``window`` that follow each other: texts that have such a run in
+    common choose the same of its shingles."""
+    if len(shingles) < s.window:
         return np.zeros(0, dtype=np.int64)
-    return np.flatnonzero(mix(hashes_of(hashes, s), 51) % np.uint64(s.one_in) == 0)
+    values = mix(shingles, 51)
+    least = sliding_window_view(values, s.window).min(axis=1)
+    # A place is chosen if it is the least of a window that covers it: the greatest of those windows' least values.
+    padded = np.concatenate((np.zeros(s.window - 1, dtype=np.uint64), least, np.zeros(s.window - 1, dtype=np.uint64)))
+    return np.flatnonzero(sliding_window_view(padded, s.window).max(axis=1) == values)
 
 
 def hashes_of(hashes: np.ndarray, s: Settings) -> np.ndarray:
@@ -97,37 +114,37 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, settings: Settings =
     def sample(batches):
         memo = WordHashes()
         for batch in batches:
-            hashes, names, places = [], [], []
+            hashes, names = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = memo.of(fold(text).split())
-                at = sampled(words, s)
-                if len(at):
-                    found, first = np.unique(hashes_of(words, s)[at], return_index=True)
+                if len(words) >= s.words:
+                    shingles = hashes_of(words, s)
+                    found = np.unique(shingles[chosen_places(shingles, s)])
                     hashes.append(found.view(np.int64))
-                    places.append(at[first])
                     names.append(np.full(len(found), doc))
             join = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(join(hashes)), pa.array(join(names)), pa.array(join(places).astype(np.int32))], ["hash", "doc", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(join(hashes)), pa.array(join(names))], ["hash", "doc"])
 
-    chosen = docs.select("doc", "text").mapInArrow(sample, "hash bigint, doc bigint, place int")
+    chosen = docs.select("doc", "text").mapInArrow(sample, "hash bigint, doc bigint")
     twice = chosen.groupBy("hash").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x <> y").select("hash")
-    places = chosen.join(twice, "hash").groupBy("doc").agg(F.collect_list("place").alias("places"))
-    places = scratch.keep(places.withColumnRenamed("doc", "_doc"), "places")
+    repeats = chosen.join(twice, "hash").groupBy("doc").agg(F.collect_list("hash").alias("repeats"))
+    repeats = scratch.keep(repeats.withColumnRenamed("doc", "_doc"), "repeats")
 
     def cut(batches):
         memo = WordHashes()
         for batch in batches:
             rows = []
-            for doc, doc_id, text, at in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, doc_id, text, repeated in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = fold(text)
                 spans = [m.span() for m in WORD.finditer(raw)]
                 shingles = hashes_of(memo.of([raw[a:b] for a, b in spans]), s)
+                at = chosen_places(shingles, s)
                 hit = np.zeros(len(spans) + 1, dtype=np.int64)
-                hit[np.array(at, dtype=np.int64) + 1] = 1
+                hit[at[np.isin(shingles[at], np.array(repeated, dtype=np.int64).view(np.uint64))] + 1] = 1
                 sums = np.cumsum(hit)
                 for first, end in paragraphs(raw, spans, s):
-                    # Two sampled shingles that repeat, or one near a paragraph's ends: else nothing of it can repeat.
-                    if sums[min(end + s.one_in, len(spans))] - sums[max(0, first - s.one_in)] < 1:
+                    # The run that it has in common with another lies in it, and so does a chosen shingle of that run.
+                    if sums[end - s.shingle + 1] == sums[first]:
                         continue
                     items = np.unique((shingles[first : end - s.shingle + 1] >> np.uint64(32)).astype(np.uint32))
                     rows.append((doc, doc_id, first, end, spans[first][0], spans[end - 1][1], xxhash.xxh3_128_digest(items.tobytes()), items.tobytes(), raw))
@@ -138,8 +155,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, settings: Settings =
             columns = [pa.array(c, k) for c, k in zip((*out[:4], starts, sizes, *out[6:8]), kinds)]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "doc_id", "first", "end", "start", "length", "node", "items"])
 
-    with_places = docs.join(places, C("doc") == C("_doc")).select("doc", "doc_id", "text", "places")
-    rows = with_places.mapInArrow(
+    with_repeats = docs.join(repeats, C("doc") == C("_doc")).select("doc", "doc_id", "text", "repeats")
+    rows = with_repeats.mapInArrow(
         cut, "doc bigint, doc_id bigint, first int, end int, start int, length int, node binary, items binary"
     )
     rows = scratch.keep(rows, "paragraphs")
