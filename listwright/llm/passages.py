@@ -21,8 +21,11 @@ C = F.col
 
 @dataclass(frozen=True)
 class Settings:
-    #: Least words of a paragraph: the run of whole sentences from one sentence's start on that reaches it.
+    #: Least words of a paragraph: the run of whole sentences from one sentence's start on that reaches it, or where
+    #: sentences do not end, the run from one content-defined place to another.
     words: int = 25
+    #: A content-defined place is a word pair of least hash among so many on either side.
+    radius: int = 2
     shingle: int = 5
     percent: int = 75
     #: 12 bands of 3 values: a pair of similarity 0.75 shares a band with probability 0.998.
@@ -45,7 +48,7 @@ class Settings:
 
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
-ENDS = (b".", b"!", b"?", b'."', b'!"', b'?"', b".)", "…".encode(), "。".encode())
+ENDS = (b".", b"!", b"?", b'."', b'!"', b'?"', b".)", "…".encode(), "。".encode(), *(f"{a}{b}".encode() for a in ".!?" for b in "”’»"))
 
 
 def chosen_places(shingles: np.ndarray, s: Settings) -> np.ndarray:
@@ -64,9 +67,19 @@ def hashes_of(hashes: np.ndarray, s: Settings) -> np.ndarray:
     return gram_hashes(hashes, s.shingle)
 
 
-def paragraphs(raw: bytes, spans: list[tuple[int, int]], s: Settings) -> list[tuple[int, int]]:
+def content_places(hashes: np.ndarray, s: Settings) -> np.ndarray:
+    """Words at which a text is cut whatever stands around the ``radius`` word pairs on either side."""
+    size = 2 * s.radius + 1
+    if len(hashes) <= size:
+        return np.zeros(0, dtype=np.int64)
+    values = mix(gram_hashes(hashes, 2), 52)
+    return np.flatnonzero(sliding_window_view(values, size).min(axis=1) == values[s.radius : len(values) - s.radius]) + s.radius
+
+
+def paragraphs(raw: bytes, spans: list[tuple[int, int]], hashes: np.ndarray, s: Settings) -> list[tuple[int, int]]:
     """``(first word, word after the last)`` from the start of every sentence of four words or more, and from that of
-    any sentence after a shorter one, to the first sentence end that gives ``words`` words."""
+    any sentence after a shorter one, to the first sentence end that gives ``words`` words. And from every
+    content-defined place to the first other that gives ``words`` words, if at most one sentence ends between them."""
     starts, ends = [0], []
     for k, (a, b) in enumerate(spans):
         last = k == len(spans) - 1
@@ -84,7 +97,11 @@ def paragraphs(raw: bytes, spans: list[tuple[int, int]], s: Settings) -> list[tu
         if at == len(ends):
             break
         out.append((start, ends[at]))
-    return out
+    cuts = content_places(hashes, s)
+    to = np.searchsorted(cuts, cuts + s.words)
+    first, end = cuts[to < len(cuts)], cuts[to[to < len(cuts)]]
+    inside = np.searchsorted(end_array, end, side="left") - np.searchsorted(end_array, first, side="right")
+    return sorted({*out, *zip(first[inside < 2].tolist(), end[inside < 2].tolist())})
 
 
 def band_keys(items: np.ndarray, s: Settings) -> np.ndarray:
@@ -137,12 +154,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, settings: Settings =
             for doc, doc_id, text, repeated in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = fold(text)
                 spans = [m.span() for m in WORD.finditer(raw)]
-                shingles = hashes_of(memo.of([raw[a:b] for a, b in spans]), s)
+                hashes = memo.of([raw[a:b] for a, b in spans])
+                shingles = hashes_of(hashes, s)
                 at = chosen_places(shingles, s)
                 hit = np.zeros(len(spans) + 1, dtype=np.int64)
                 hit[at[np.isin(shingles[at], np.array(repeated, dtype=np.int64).view(np.uint64))] + 1] = 1
                 sums = np.cumsum(hit)
-                for first, end in paragraphs(raw, spans, s):
+                for first, end in paragraphs(raw, spans, hashes, s):
                     # The run that it has in common with another lies in it, and so does a chosen shingle of that run.
                     if sums[end - s.shingle + 1] == sums[first]:
                         continue
