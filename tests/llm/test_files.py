@@ -10,7 +10,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
 import pytest
-from helpers import awkward, docs_frame, prose
+from llm_helpers import awkward, docs_frame, prose
 from listwright.llm import encoding, grammar, packing, warc
 from listwright.llm.storage import Scratch
 

@@ -1,6 +1,6 @@
 import random
 
-from helpers import prose, words
+from llm_helpers import prose, words
 from listwright.llm import html
 
 

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from helpers import docs_frame, prose, words
+from llm_helpers import docs_frame, prose, words
 from listwright.llm import decontaminate
 
 

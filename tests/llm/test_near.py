@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import awkward, docs_frame, groups, prose, shingles, words
+from llm_helpers import awkward, docs_frame, groups, prose, shingles, words
 from listwright.llm import hamming, links, passages, sketching
 
 

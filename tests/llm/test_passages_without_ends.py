@@ -1,6 +1,6 @@
 import random
 
-from helpers import docs_frame, words
+from llm_helpers import docs_frame, words
 from listwright.llm import passages
 
 

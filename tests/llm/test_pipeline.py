@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from helpers import prose
+from llm_helpers import prose
 from listwright.llm import decontaminate, lines, toxicity
 
 

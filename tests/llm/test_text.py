@@ -3,7 +3,7 @@
 import random
 import zlib
 
-from helpers import awkward, docs_frame, prose, tokens, words
+from llm_helpers import awkward, docs_frame, prose, tokens, words
 from listwright.llm import decontaminate, html, lines, toxicity
 from pyspark.sql import functions as F
 
