@@ -80,3 +80,49 @@ reach as (select doc_id as a, doc_id as b from n union select r.a, l.b from reac
 component as (select a as doc_id, min(b) as component_id from reach group by a)
 select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from component join n using (doc_id)
 """
+
+#: The checksum is computed byte by byte; near words meet through wildcards and through all words with a letter removed.
+VARIANTS = r"""
+with recursive steps as (
+  select list(v order by i) as crc_table from (
+    select i, list_reduce(range(8), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as v
+    from (select unnest(range(256))::bigint as i)
+  )
+),
+runs as (
+  select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents
+),
+lowered as (
+  select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from runs group by all
+),
+bytes as (select id, run, n, hex(encode(id || ':' || run)) as h from lowered),
+marked as (
+  select run, n, xor(4294967295, list_reduce(
+    list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::bigint),
+    lambda c, b: xor(c >> 8, crc_table[xor(c, b) % 256 + 1]), 4294967295::bigint)) as mark
+  from bytes cross join steps
+),
+results as (
+  select case when mark % 97 = 0 then run[1 : mark % length(run)] || run[mark % length(run) + 2 : length(run)] else run end as word, n from marked
+),
+words as (select word, sum(n)::bigint as n from results where length(word) >= 5 group by word having sum(n) >= 3),
+places as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+cut as (select word, n, i, word[1 : i - 1] as a, word[i + 1 : length(word)] as b from places),
+near as (
+  select x.word, y.word as other, y.n from cut x join cut y on x.i = y.i and x.a = y.a and x.b = y.b and x.word <> y.word
+  union select x.word, y.word, y.n from cut x join words y on y.word = x.a || x.b
+  union select y.word, x.word, x.n from cut x join words y on y.word = x.a || x.b
+),
+best as (select word, count(*) as n_near, arg_min(other, (-n, other)) as other, max(n) as other_n from near group by word),
+formed as (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near,
+    case when b.other_n >= 2 * w.n then b.other end as form, case when b.other_n >= 2 * w.n then b.other_n end as form_n
+  from words w left join best b using (word)
+),
+ways as (
+  select word, word as reached, 0 as depth from formed
+  union all select w.word, f.form, depth + 1 from ways w join formed f on f.word = w.reached where f.form is not null
+),
+ends as (select word, arg_max(reached, depth) as root from ways group by word)
+select word, form, root, n, n_near, form_n from formed join ends using (word)
+"""

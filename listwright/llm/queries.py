@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm import decontaminate, grammar, hamming, html, lines, oracles, packing, passages, sketching, toxicity, warc
+from listwright.llm import decontaminate, grammar, hamming, html, lines, oracles, packing, passages, sketching, toxicity, variants, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,3 +80,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fast_sketch_dedup", oracles.SHINGLES)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketching.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op11_permuterm_variants", oracles.VARIANTS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(spark, table(spark, sf_dir, "documents"))
