@@ -126,3 +126,36 @@ ways as (
 ends as (select word, arg_max(reached, depth) as root from ways group by word)
 select word, form, root, n, n_near, form_n from formed join ends using (word)
 """
+
+
+def _clusters(dims: int = 64, clusters: int = 40, rounds: int = 5) -> str:
+    """Rounds of assignment and update, written one after the other; all sums stay whole numbers."""
+    parts = [f"""
+kept as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q,
+    row_number() over (order by sha256('2:' || coalesce(vec_id::varchar, '')), embedding) - 1 as place
+  from embeddings
+  where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dims}
+),
+c0 as (select place as cluster, q as c from kept where place < {clusters})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+d{r} as (
+  select v.place, v.vec_id, v.q, arg_min(cluster, (list_sum(list_transform(list_zip(v.q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), cluster)) as cluster,
+    min(list_sum(list_transform(list_zip(v.q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) as distance
+  from kept v cross join c{r} group by v.place, v.vec_id, v.q
+)""")
+        if r < rounds:
+            parts.append(f"""
+e{r} as (select cluster, unnest(q) as x, unnest(range({dims})) as i from d{r}),
+s{r} as (select cluster, i, sum(x)::bigint as s, count(*) as n from e{r} group by cluster, i),
+m{r} as (select cluster, list((s - ((s % n) + n) % n) // n order by i) as c from s{r} group by cluster),
+c{r + 1} as (select o.cluster, coalesce(m.c, o.c) as c from c{r} o left join m{r} m using (cluster))""")
+    return "with" + ",".join(parts) + f"""
+select vec_id, cluster::integer as cluster, distance::bigint as distance, sum(distance) over (partition by cluster)::bigint as cluster_inertia,
+  sum(distance) over ()::bigint as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from d{rounds} join c{rounds} using (cluster)
+"""
+
+
+CLUSTERS = _clusters()

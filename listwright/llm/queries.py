@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm import decontaminate, grammar, hamming, html, lines, oracles, packing, passages, sketching, toxicity, variants, warc
+from listwright.llm import centroids, decontaminate, grammar, hamming, html, lines, oracles, packing, passages, sharding, sketching, toxicity, variants, warc
+from listwright.llm.storage import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,3 +86,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_permuterm_variants", oracles.VARIANTS)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op12_vantage_clusters", oracles.CLUSTERS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(spark, table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+@query("op13_vector_shards")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "shards").path("files")
+    sharded = sharding.write_shards(spark, table(spark, sf_dir, "documents"), path)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return sharded.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
