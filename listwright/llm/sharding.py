@@ -125,9 +125,11 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 16, text
     dealt = dealt.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("row_key"), C("pieces")), F.lit(0).cast("bigint"))).drop("pieces")
     items = scratch.keep(dealt.groupBy("digest", "piece").agg(*sums), "items")
     chosen = pack_items(scratch, items, items.count(), shards)
-    placed = scratch.keep(dealt.select("row_key", "digest", "piece").join(chosen, ["digest", "piece"]).select("row_key", "shard"), "placed")
+    placed = dealt.select("row_key", "digest", "piece").join(chosen.hint("merge"), ["digest", "piece"]).select("row_key", "shard")
+    placed = scratch.keep(placed, "placed")
     slots = numbered(placed, total["rows"], shards)
-    return docs.join(slots, "row_key").drop("row_key").withColumns(_added(size, C("shard"), C("slot")))
+    # Both sides grow with the documents: a merge join at every size, however small the slots are.
+    return docs.join(slots.hint("merge"), "row_key").drop("row_key").withColumns(_added(size, C("shard"), C("slot")))
 
 
 def _added(size: Column, shard: Column, slot: Column) -> dict[str, Column]:
