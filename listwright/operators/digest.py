@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from listwright.functions import dates, text, values
 from listwright.operators.classify import digest_eligible
+from listwright.operators.ordered import hash_tree
 from listwright.session import cut
 
 C = F.col
@@ -48,11 +49,10 @@ def global_rank(df: DataFrame, order: list[Column], into: str = "position") -> D
     )
 
 
-def digest_id(ranked: DataFrame, id_column: str = "id", position: str = "position") -> DataFrame:
-    """First 20 hex digits of the hash over the ordered ids, one row. It gathers the ids of one message."""
-    items = F.array_sort(F.collect_list(F.struct(C(position).alias("p"), C(id_column).alias("v"))))
-    whole = F.array_join(F.transform(items, lambda x: x["v"]), "|")
-    return ranked.agg(F.substring(F.sha2(whole, 256), 1, 20).alias("digest_id"))
+def digest_id(ranked: DataFrame, id_column: str = "id", position: str = "position", fan: int = 4096) -> DataFrame:
+    """First 20 hex digits of the hash tree over the ordered ids, one row; of the empty text for no ids."""
+    whole = hash_tree(ranked, [], position, id_column, "whole", "|", fan)
+    return whole.agg(F.substring(F.coalesce(F.max("whole"), F.sha2(F.lit("").cast("binary"), 256)), 1, 20).alias("digest_id"))
 
 
 def select_digest(

@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listwright.operators.ordered import previous_row
+from listwright.operators.ordered import hash_tree, previous_row, rank_within
+from listwright.session import cut
 
 C = F.col
 
@@ -20,13 +21,11 @@ def coverage_ok(advertised: Column, found: Column) -> Column:
     return advertised.isNull() | (found >= F.greatest(F.lit(1), advertised - 1))
 
 
-def ordered_digest(df: DataFrame, keys: list[str], position: str, value: str, into: str) -> DataFrame:
-    """SHA-256 over the values joined in position order: it depends on their order, not on their numbers.
-
-    What a group gathers is one hash a page of one source in one scan.
-    """
-    items = F.array_sort(F.collect_list(F.struct(C(position).alias("p"), C(value).alias("v"))))
-    return df.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(items, lambda x: x["v"]), ""), 256).alias(into))
+def ordered_digest(df: DataFrame, keys: list[str], position: str, value: str, into: str, fan: int = 4096) -> DataFrame:
+    """Hash tree over the values in position order: it depends on their order, not on their numbers."""
+    narrow = cut(df.select(*keys, position, value), "values")
+    ranked = rank_within(narrow, keys, [position, value], C(position), "_rank").withColumn("_rank", C("_rank") - 1)
+    return hash_tree(ranked, keys, "_rank", value, into, fan=fan)
 
 
 def health_rollup(payloads: DataFrame, raw: DataFrame, registry: DataFrame, advertised: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listwright.session import cut, discard
+
+C = F.col
 BUCKETS = 64
 
 
@@ -89,6 +92,28 @@ def rank_within(
     )
 
 
+def hash_tree(
+    df: DataFrame, keys: Sequence[str], position: str, value: str, into: str, separator: str = "", fan: int = 4096
+) -> DataFrame:
+    """One SHA-256 per key that depends on the order of ``value`` by ``position`` (0, 1, 2 ... within the key).
+
+    Leaves hash the joined values of ``fan`` positions each; every further level hashes ``fan`` joined hashes of the
+    level below, and a hash that stands alone goes up as it is. So no group holds more than ``fan`` values, and up to
+    ``fan`` values the result is the plain hash of the joined list.
+    """
+    keys = list(keys)
+    items = F.array_sort(F.collect_list(F.struct("_at", "_value")))
+    joined = lambda by: F.sha2(F.array_join(F.transform(items, lambda x: x["_value"]), by), 256)
+    nodes = df.select(*keys, C(position).cast("bigint").alias("_at"), C(value).alias("_value"))
+    slices = lambda nodes, hashed: nodes.groupBy(*keys, F.floor(C("_at") / fan).alias("_slice")).agg(hashed.alias("_value"))
+    nodes = cut(slices(nodes, joined(separator)).withColumnRenamed("_slice", "_at"), "hashes")
+    while not nodes.filter("_at > 0").isEmpty():
+        up = F.when(F.count(F.lit(1)) == 1, F.first("_value")).otherwise(joined(""))
+        before, nodes = nodes, cut(slices(nodes, up).withColumnRenamed("_slice", "_at"), "hashes")
+        discard(before)
+    return nodes.select(*keys, C("_value").alias(into))
+
+
 def pick_first(df: DataFrame, by: Sequence[str], order: Column) -> DataFrame:
     """First row per key in stored order: an aggregate with map-side combine, not a window."""
     names = df.columns

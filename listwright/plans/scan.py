@@ -19,7 +19,7 @@ from listwright.operators.resolve import resolve
 from listwright.rules.ruleset import RuleSet
 from listwright.session import cut
 from listwright.sources import extract, payloads as P
-from listwright.sources.state import read_state, write_state
+from listwright.sources.state import commit_state, current_versions, read_state
 
 C = F.col
 
@@ -65,12 +65,13 @@ def load_dimensions(spark: SparkSession, root: str, rules: RuleSet) -> Dimension
 
 
 def load_state(spark: SparkSession, root: str) -> State:
-    return State(**{name: read_state(spark, root, name, ddl) for name, ddl in TABLES.items()})
+    _, versions = current_versions(spark, root)
+    return State(**{name: read_state(spark, root, name, ddl, versions) for name, ddl in TABLES.items()})
 
 
 def save_state(state: State, root: str, scan_id: str) -> int:
-    """Number of tables that changed."""
-    return sum(write_state(getattr(state, name), root, name, scan_id) for name in TABLES)
+    """Number of tables that changed; all of them become current in one step."""
+    return len(commit_state({name: getattr(state, name) for name in TABLES}, root, scan_id))
 
 
 # Kinds whose pages are shards of queries are cut at their cap, first appearance first; paged boards

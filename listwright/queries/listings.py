@@ -170,7 +170,11 @@ def digest_select(spark, d):
 
 @query(
     "digest_id",
-    f"{S_SELECTED} select substr(sha256(string_agg(id, '|' order by position)), 1, 20) as digest_id from selected",
+    f"""{S_SELECTED},
+    leaves as (select position // 4096 as place, sha256(string_agg(id, '|' order by position)) as h from selected group by 1),
+    nodes as (select place // 4096 as up, case when count(*) = 1 then any_value(h) else sha256(string_agg(h, '' order by place)) end as h from leaves group by 1),
+    top as (select case when count(*) = 1 then any_value(h) else sha256(string_agg(h, '' order by up)) end as h from nodes)
+    select substr(coalesce(h, sha256('')), 1, 20) as digest_id from top""",
 )
 def digest_id(spark, d):
     _, ident = G.select_digest(records(spark, d), _sent(spark, d), None, now())

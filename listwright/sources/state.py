@@ -1,9 +1,10 @@
-"""Versioned state tables: one folder per scan and a pointer to the current one."""
+"""Versioned state tables: one folder per table and scan, and one manifest that names the current ones."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,47 +21,63 @@ def fingerprint(df: DataFrame) -> tuple:
     return got["n"], got["x"] or 0, got["s"] or 0
 
 
-def _pointer(root: str, name: str) -> str:
-    return f"{root}/{name}/_current"
+MANIFEST = "seq BIGINT, commit STRING, name STRING, version STRING"
 
 
-def current_version(spark: SparkSession, root: str, name: str) -> str | None:
+def current_versions(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
+    """Number of the last commit and the version of every table in it; -1 and nothing when there is none."""
     try:
-        rows = spark.read.schema("version STRING, seq BIGINT").json(_pointer(root, name))
-        got = rows.orderBy(F.desc("seq")).limit(1).collect()
-    except Exception as exc:  # a path that does not exist yet is an empty state
+        rows = spark.read.schema(MANIFEST).json(f"{root}/_commits")
+        last = rows.agg(F.max(F.struct("seq", "commit")).alias("m")).first()["m"]
+    except AnalysisException as exc:  # a path that does not exist yet is an empty state
         if "PATH_NOT_FOUND" not in str(exc):
             raise
-        return None
-    return got[0]["version"] if got else None
+        return -1, {}
+    if last is None:
+        return -1, {}
+    # One row per table of the state.
+    named = rows.filter((C("seq") == last["seq"]) & (C("commit") == last["commit"])).collect()
+    return last["seq"], {row["name"]: row["version"] for row in named}
 
 
-def read_state(spark: SparkSession, root: str, name: str, ddl: str) -> DataFrame:
-    """Current snapshot; an empty table when none was written."""
-    version = current_version(spark, root, name)
-    if version is None:
+def read_state(spark: SparkSession, root: str, name: str, ddl: str, versions: dict[str, str] | None = None) -> DataFrame:
+    """Current snapshot, or that of ``versions``; an empty table when none was written."""
+    if versions is None:
+        _, versions = current_versions(spark, root)
+    if name not in versions:
         return spark.createDataFrame([], ddl)
-    return spark.read.schema(ddl).parquet(f"{root}/{name}/{version}")
+    return spark.read.schema(ddl).parquet(f"{root}/{name}/{versions[name]}")
 
 
-def write_state(df: DataFrame, root: str, name: str, scan_id: str) -> bool:
-    """Write a snapshot and move the pointer; an identical table is left alone (returns False).
+def commit_state(tables: dict[str, DataFrame], root: str, scan_id: str) -> list[str]:
+    """Write snapshots of several tables and make them current together; names of those that changed.
 
-    The data folder is complete before the pointer names it, so a lost job leaves the old version.
+    Tables equal to their current snapshot are left alone. The manifest of a commit is one file that names a version
+    for every table and appears when it is complete, so a scan that stops before it leaves the old state whole, and
+    readers never see tables of two scans.
     """
-    spark = df.sparkSession
-    # A retried scan writes a folder of its own; only the pointer decides what is current.
-    version = f"scan_id={scan_id}-{uuid.uuid4().hex[:8]}"
-    current = current_version(spark, root, name)
-    path = f"{root}/{name}/{version}"
-    if current is not None:
-        stored = spark.read.schema(df.schema).parquet(f"{root}/{name}/{current}")
-        if fingerprint(stored) == fingerprint(df):
-            return False
-    df.write.mode("errorifexists").parquet(path)
-    seq = 0
-    if current is not None:
-        seq = spark.read.schema("version STRING, seq BIGINT").json(_pointer(root, name)).agg(F.max("seq")).first()[0] + 1
-    entry = spark.range(1).select(F.lit(version).alias("version"), F.lit(seq).cast("bigint").alias("seq"))
-    entry.coalesce(1).write.mode("append").json(_pointer(root, name))
-    return True
+    if not tables:
+        return []
+    spark = next(iter(tables.values())).sparkSession
+    seq, versions = current_versions(spark, root)
+    changed = []
+    for name, df in tables.items():
+        if name in versions:
+            stored = spark.read.schema(df.schema).parquet(f"{root}/{name}/{versions[name]}")
+            if fingerprint(stored) == fingerprint(df):
+                continue
+        # A retried scan writes a folder of its own; only the manifest decides what is current.
+        version = f"scan_id={scan_id}-{uuid.uuid4().hex[:8]}"
+        df.write.mode("errorifexists").parquet(f"{root}/{name}/{version}")
+        versions[name] = version
+        changed.append(name)
+    if changed:
+        commit = uuid.uuid4().hex
+        rows = [(seq + 1, commit, name, version) for name, version in versions.items()]
+        spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").json(f"{root}/_commits")
+    return changed
+
+
+def write_state(df: DataFrame, root: str, name: str, scan_id: str) -> bool:
+    """Commit one table; an identical table is left alone (returns False)."""
+    return bool(commit_state({name: df}, root, scan_id))
