@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -98,7 +99,8 @@ class Codes:
             if self.recall >= s.recall:
                 break
         else:
-            raise ValueError(f"{s.most_tables} tables find {self.recall:.3f} of pairs at the bound, fewer than {s.recall}")
+            # No bit is kept by enough pairs: one bucket holds all vectors, whose cells are compared block by block.
+            self.key_bits, self.per_map, self.tables, self.recall = 0, 1, 1, 1.0
         self.maps = rotations[: -(-self.tables // self.per_map)]
 
     def bits(self, vectors: np.ndarray) -> np.ndarray:
@@ -123,8 +125,8 @@ def _vectors(column) -> np.ndarray:
 def near_vectors(spark: SparkSession, table: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` per row of ``table (vec_id, embedding, ...)``.
 
-    Vectors that are null, empty, zero or hold null or non-finite components, and those of another width than most
-    of the sample, link with nothing. Pairs are found where they share a table's key, compared in double precision
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and vectors of
+    different widths not with each other: every width has tables of its own. Pairs are found where they share a table's key, compared in double precision
     and linked from the bound of cosine on. Repeated rows are vectors of their own; a null id has no component and is
     kept. An empty table gives an empty result; other columns are ignored.
 
@@ -146,14 +148,24 @@ def near_vectors(spark: SparkSession, table: DataFrame, settings: Settings = Set
 
     source = table.select(C("vec_id").cast("bigint").alias("vec_id"), C("embedding").cast("array<double>"))
     rows = scratch.keep(source.mapInArrow(clean, "row bigint, vec_id bigint, unit binary"), "rows")
-    n = rows.count()
-    sample = rows.filter("unit is not null").orderBy(F.xxhash64("unit"), "row").select("unit").limit(s.sample_rows).collect()
-    alone = rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), C("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not sample:
-        return alone
-    sizes = [len(r["unit"]) for r in sample]
-    width = max(set(sizes), key=lambda w: (sizes.count(w), w))
-    codes = Codes(np.stack([np.frombuffer(r["unit"]) for r in sample if len(r["unit"]) == width]), max(8, min(24, math.ceil(math.log2(n + 1)))), s)
+    # One row per width of the embeddings.
+    widths = [r["w"] for r in rows.filter("unit is not null").select(F.octet_length("unit").alias("w")).distinct().orderBy("w").collect()]
+    out = rows.select("row", "vec_id")
+    if widths:
+        done = reduce(DataFrame.unionByName, [_links_of_width(scratch, rows.filter(F.octet_length("unit") == w), s) for w in widths])
+        out = out.join(done, "row", "left")
+    else:
+        out = out.withColumns({"n_links": F.lit(None).cast("bigint"), "least": F.lit(None).cast("bigint")})
+    component = F.when(C("vec_id").isNotNull(), F.coalesce("least", "vec_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"))
+    return out.withColumn("kept", C("vec_id").eqNullSafe(C("component_id")))
+
+
+def _links_of_width(scratch: Scratch, usable: DataFrame, s: Settings) -> DataFrame:
+    """``(row, n_links, least)`` of unit vectors ``(row, vec_id, unit)`` of one width."""
+    spark, n = scratch.spark, usable.count()
+    sample = usable.orderBy(F.xxhash64("unit"), "row").select("unit").limit(s.sample_rows).collect()
+    codes = Codes(np.stack([np.frombuffer(r["unit"]) for r in sample]), max(8, min(24, math.ceil(math.log2(n + 1)))), s)
     sent = spark.sparkContext.broadcast(codes)
     theta = math.acos(s.cosine)
 
@@ -165,7 +177,6 @@ def near_vectors(spark: SparkSession, table: DataFrame, settings: Settings = Set
             keys = pa.array(list(sent.value.keys(bits)), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), keys], ["row", "keys"])
 
-    usable = rows.filter(F.octet_length("unit") == width)
     coded = usable.select("row", "unit").mapInArrow(encode, "row bigint, keys array<bigint>")
     keyed = scratch.keep(coded.select("row", F.explode("keys").alias("key")), "keys")
 
@@ -252,7 +263,4 @@ def near_vectors(spark: SparkSession, table: DataFrame, settings: Settings = Set
     done = cells.select("row", "cell").join(heads, "cell").join(outside, "row", "left")
     done = done.select("row", (C("size") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), "least")
     scratch.drop(keyed, met, pairs, blocked)
-    out = rows.select("row", "vec_id").join(done, "row", "left")
-    component = F.when(C("vec_id").isNotNull(), F.coalesce("least", "vec_id"))
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"))
-    return out.withColumn("kept", C("vec_id").eqNullSafe(C("component_id")))
+    return done

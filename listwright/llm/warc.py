@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listwright.llm.sharding import named_rows
 from listwright.llm.storage import Scratch, open_folder, small_batches
 
 C = F.col
@@ -77,13 +78,17 @@ def compressed(raw: bytes) -> bytes:
 
 
 def roles(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """``(page_id, digest, first)`` of payloads that several records share; ``first`` is their least id.
+    """``(page_id, digest, first, holder)`` of payloads that several records share.
+
+    ``first`` is their least id and ``holder`` the key of the one row that keeps the payload, the first stored one of
+    rows that repeat that id.
 
     Only ids and digests are grouped and joined; a payload that a third of all pages share makes its rows narrow
     and the group's side of the join a single row.
     """
-    shared = pages.filter(C("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = shared.filter("n > 1 and first is not null").select("digest", "first")
+    named = F.when(C("page_id").isNotNull(), F.struct("page_id", "row_key"))
+    shared = pages.filter(C("size") >= least_bytes).groupBy("digest").agg(F.min(named).alias("m"), F.count(F.lit(1)).alias("n"))
+    shared = shared.filter("n > 1 and m is not null").select("digest", C("m.page_id").alias("first"), C("m.row_key").alias("holder"))
     return pages.select("page_id", "digest").join(shared, "digest").distinct()
 
 
@@ -94,31 +99,29 @@ def write_archives(
 
     Of records whose payloads of at least ``least_bytes`` bytes are equal, that of the least ``page_id`` is the
     response and the others are revisits of it; smaller ones are all responses. Null html is an empty payload, a
-    null url becomes a page urn. Rows that repeat an id with its payload revisit that id's first record. Equal
+    null url becomes a page urn. Rows that repeat an id with its payload revisit that id's first stored row, wherever
+    they lie. Equal
     payloads of which no row has an id are all responses. An empty table writes no file. A file is named by the
     attempt that wrote it, and only finished tasks return index rows.
     """
     small_batches(spark, 256)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(C("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"))
+    pages = named_rows(Scratch(spark, "pages"), pages.select("page_id", "url", "html"))
+    rows = pages.select(C("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"), "row_key")
     # Two hashes of different kinds and the size: equal for equal payloads only.
     digest = F.concat_ws(":", F.sha1("payload"), F.xxhash64("payload"), F.octet_length("payload"))
     rows = rows.withColumn("digest", digest)
-    found = roles(rows.select("page_id", "digest", F.octet_length("payload").alias("size")), least_bytes)
-    found = found.select(C("page_id").alias("p"), C("digest").alias("d"), "first")
+    found = roles(rows.select("page_id", "digest", "row_key", F.octet_length("payload").alias("size")), least_bytes)
+    found = found.select(C("page_id").alias("p"), C("digest").alias("d"), "first", "holder")
     rows = rows.join(found, rows["page_id"].eqNullSafe(C("p")) & (rows["digest"] == C("d")), "left")
-    rows = rows.select("page_id", "url", "payload", "digest", "first").sortWithinPartitions("page_id", "digest", "url")
+    refers = F.when(C("row_key") != C("holder"), C("first"))
+    rows = rows.select("page_id", "url", "payload", refers.alias("refers")).sortWithinPartitions("page_id", "url")
 
     def run(batches):
-        part, system, path, file, name, at, last = TaskContext.get().partitionId(), None, "", None, "", 0, None
+        part, system, path, file, name, at = TaskContext.get().partitionId(), None, "", None, "", 0
         for batch in batches:
             out = []
-            for page_id, url, payload, key, first in zip(*(c.to_pylist() for c in batch.columns)):
-                if first is not None and first == page_id and last != (page_id, key):
-                    refers = None
-                else:
-                    refers = first
-                last = (page_id, key)
+            for page_id, url, payload, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 digest = base32_sha1(payload)
                 raw = compressed(record(page_id, url, payload, digest, refers, date))
                 if file is None or at >= ARCHIVE:
