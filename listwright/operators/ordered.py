@@ -149,17 +149,18 @@ def dedupe_last(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     )
 
 
-def apply_cap(df: DataFrame, by: Sequence[str], order: Sequence[str], cap: Column) -> DataFrame:
+def apply_cap(df: DataFrame, by: Sequence[str], order: Sequence[str], cap: Column, number: Column) -> DataFrame:
     """Keep the first ``cap`` rows per key, all rows where the cap is NULL; ``capped`` tells whether any were cut.
 
-    Rows without a cap are never ranked; only those of capped keys reach a window.
+    Rows without a cap are never ranked; those of capped keys are ranked per slice of the order, which ``number``
+    rises with, so a key that holds most of the rows is spread out.
     """
     free = df.filter(cap.isNull()).withColumn("capped", F.lit(False))
     bound = df.filter(cap.isNotNull())
-    counted = bound.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = bound.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rn") <= cap)
-    cut = ranked.join(counted, list(by)).withColumn("capped", F.col("_n") > cap).drop("_n", "_rn")
-    return free.unionByName(cut.select(*free.columns))
+    counted = bound.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
+    ranked = rank_within(bound, by, order, number, "_rn").filter(F.col("_rn") <= cap)
+    cut_off = ranked.join(counted, list(by)).withColumn("capped", F.col("_total") > cap).drop("_total", "_rn")
+    return free.unionByName(cut_off.select(*free.columns))
 
 
 def page(df: DataFrame, n: int) -> DataFrame:

@@ -14,7 +14,7 @@ from listwright.operators import lifecycle as L
 from listwright.operators import serving
 from listwright.operators.classify import classify, is_public
 from listwright.operators.matching import minus_ids
-from listwright.operators.ordered import apply_cap, dedupe_first, dedupe_last
+from listwright.operators.ordered import apply_cap, dedupe_first, dedupe_last, rank_within
 from listwright.operators.resolve import resolve
 from listwright.rules.ruleset import RuleSet
 from listwright.session import cut
@@ -83,16 +83,16 @@ LAST_WINS = ("charityjob", "nhs_jobs", "jobs_ac_uk", "targetjobs", "higherin", "
 def in_order(payloads: DataFrame) -> DataFrame:
     """Pages numbered per source over all of its query shards, so that no two rows share a place.
 
-    Shards follow each other by their first fetch, then by their query. Only page numbers are windowed: one narrow row
-    a page of one source.
+    Shards follow each other by their first fetch, then by their query. Only page numbers are ranked, in slices of the
+    fetch times.
     """
     pages = payloads.select("source_id", "query", "page_no", "fetched_at")
     shards = pages.groupBy("source_id", "query").agg(F.min("fetched_at").alias("_at"))
     numbered = pages.select("source_id", "query", "page_no").distinct().alias("p").join(
         shards.alias("s"), (C("p.source_id") == C("s.source_id")) & C("p.query").eqNullSafe(C("s.query"))
     ).select("p.source_id", "p.query", "p.page_no", "s._at")
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy("_at", "query", "page_no"))
-    numbered = numbered.select(C("source_id").alias("_s"), C("query").alias("_q"), C("page_no").alias("_p"), place.alias("_n"))
+    numbered = rank_within(cut(numbered, "pages"), ["source_id"], ["_at", "query", "page_no"], F.coalesce(F.unix_micros("_at"), F.lit(-(1 << 62))), "_n")
+    numbered = numbered.select(C("source_id").alias("_s"), C("query").alias("_q"), C("page_no").alias("_p"), "_n")
     same = (C("source_id") == C("_s")) & C("query").eqNullSafe(C("_q")) & C("page_no").eqNullSafe(C("_p"))
     return payloads.join(numbered, same).withColumn("page_no", C("_n").cast("int")).select(*payloads.columns)
 
@@ -110,7 +110,8 @@ def unique_rows(raw: DataFrame, registry: DataFrame) -> DataFrame:
     typed = raw.join(kinds, "source_id")
     names = [*raw.columns, "_kind", "result_cap"]
     sharded = dedupe_first(typed.filter(C("_kind").isin(*SHARD_KINDS)), ["source_id", "source_identifier"], order)
-    sharded = apply_cap(sharded, ["source_id"], ["first_ord"], C("result_cap")).select(*names)
+    number = C("first_ord.page_no").cast("bigint") * (1 << 31) + C("first_ord.position")
+    sharded = apply_cap(sharded, ["source_id"], ["first_ord"], C("result_cap"), number).select(*names)
     paged = dedupe_last(typed.filter(C("_kind").isin(*LAST_WINS)), ["source_id", "source_identifier"], order)
     # The last appearance takes the place of the first.
     paged = paged.withColumns({"page_no": C("first_ord.page_no"), "position": C("first_ord.position")}).select(*names)

@@ -13,7 +13,7 @@ from listwright.operators import serving
 from listwright.operators.components import key_components, shared_pairs
 from listwright.operators.resolve import group_rows, materially_distinct, resolve, traits
 from listwright.queries.base import query, s_norm, table
-from listwright.queries.tables import RECORDS_SQL, RULES, now, records
+from listwright.queries.tables import RECORDS_SQL, RULES, now, records, s_possible
 from listwright.session import cut
 from listwright.streaming import jobs
 
@@ -360,7 +360,7 @@ def result_cap(spark, d):
     df = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     cap = F.nullif((C("l_orderkey") % 4).cast("int"), F.lit(0))
     # Rows without a cap keep everything, so the map-side bound is left open.
-    return O.apply_cap(df, ["l_orderkey"], ["l_linenumber", "l_partkey"], cap)
+    return O.apply_cap(df, ["l_orderkey"], ["l_linenumber", "l_partkey"], cap, C("l_linenumber"))
 
 
 @query(
@@ -663,9 +663,18 @@ def change_detection(spark, d):
     return feed.select("role_id", F.array_join("changes", "|").alias("changes"))
 
 
-@query("tier_replacement")
+@query(
+    "tier_replacement",
+    f"""{S_LIFE}, tiers as (select n, {s_possible().replace('canonical_employer', "('e' || n)")} as possible,
+      status <> 'closed' and eligibility_status = 'uncertain' and relevance_status <> 'irrelevant' as doubtful from records),
+    kept as (select 'old-' || e.id as id, e.n from ex e join safe on sid = source_id where not ok and e.n not in (select n from ob)),
+    fresh as (select o.id, o.n from ob o)
+    select id, 'possible' as tier from (select * from kept union all select * from fresh where n % 9 <> 0) join tiers using (n) where possible
+    union all select id, 'review' from kept
+    union all select id, 'review' from fresh join tiers using (n) where doubtful and not possible""",
+)
 def tier_replacement(spark, d):
-    """Possible and review tiers after a scan; both end in the order-dependent merge."""
+    """Possible and review tiers after a scan; both end in the order-dependent merge, in which each listing is alone."""
     existing, observed, health = _life(spark, d)
     public = observed.filter("ord % 9 = 0")
     possible = L.next_possible(existing, observed, public, health, RULES, now())

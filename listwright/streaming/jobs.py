@@ -12,8 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.operators.ordered import pick_last
-from listwright.session import new_path
+from listwright.operators.ordered import pick_last, rank_within
+from listwright.session import cut, discard, new_path
 
 C = F.col
 
@@ -104,14 +104,9 @@ def subscription_events(events: DataFrame) -> DataFrame:
     return wanted.dropDuplicates(["email", "event_id"])
 
 
-def subscription_status(events: DataFrame) -> DataFrame:
-    """``(email, at, status, changes)`` after all requests of each address ``(email, event_id, action, at, expires)``.
-
-    Requests are folded in time order, whatever order they came in; times are epoch seconds. An address gathers its
-    own requests only.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct("at", "event_id", "action", "expires")))
-    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(None).cast("bigint").alias("expires"), F.lit(0).cast("bigint").alias("changes"))
+def _folded(slices: DataFrame) -> DataFrame:
+    """``slices (email, slice, e, s0, x0)`` with the state ``(s1, x1)`` after their events, begun at ``(s0, x0)``."""
+    start = F.struct(C("s0").alias("status"), C("x0").alias("expires"), F.lit(0).cast("bigint").alias("changes"))
 
     def step(state: Column, event: Column) -> Column:
         status, lapsed = state["status"], state["expires"].isNull() | (state["expires"] < event["at"])
@@ -126,8 +121,36 @@ def subscription_status(events: DataFrame) -> DataFrame:
             (state["changes"] + (opened | confirmed | ended).cast("bigint")).alias("changes"),
         )
 
-    folded = events.groupBy("email").agg(ordered.alias("e")).withColumn("s", F.aggregate("e", start, step))
-    return folded.select("email", F.array_max("e")["at"].alias("at"), "s.status", "s.changes").filter("status is not null")
+    done = slices.withColumn("s", F.aggregate("e", start, step))
+    return done.select("email", "slice", "s0", "x0", C("s.status").alias("s1"), C("s.expires").alias("x1"), "s.changes")
+
+
+def subscription_status(events: DataFrame, slice_rows: int = 10_000) -> DataFrame:
+    """``(email, at, status, changes)`` after all requests of each address ``(email, event_id, action, at, expires)``.
+
+    Requests are folded in time order, whatever order they came in; times are epoch seconds. An address is folded in
+    slices of ``slice_rows`` requests side by side: every slice begins at the state that the one before it ended with
+    in the last round, until no slice's beginning changes. Most requests settle a state whatever it was before, so an
+    address of any length takes few rounds, and no group holds more than a slice.
+    """
+    ranked = rank_within(events, ["email"], ["at", "event_id", "action", "expires"], C("at"), "place")
+    number = F.floor((C("place") - 1) / slice_rows)
+    slices = ranked.groupBy("email", number.alias("slice")).agg(F.array_sort(F.collect_list(F.struct("at", "event_id", "action", "expires"))).alias("e"))
+    slices = cut(slices, "slices")
+    unknown = slices.withColumns({"s0": F.lit(None).cast("string"), "x0": F.lit(None).cast("bigint")})
+    now = cut(_folded(unknown), "folded")
+    while True:
+        ended = now.select("email", (C("slice") + 1).alias("slice"), C("s1").alias("s2"), C("x1").alias("x2"))
+        moved = now.join(ended, ["email", "slice"]).filter(~(C("s0").eqNullSafe(C("s2")) & C("x0").eqNullSafe(C("x2"))))
+        moved = cut(moved.select("email", "slice", C("s2").alias("s0"), C("x2").alias("x0")), "moved")
+        if moved.isEmpty():
+            break
+        again = _folded(slices.join(moved, ["email", "slice"]))
+        before, now = now, cut(now.join(moved, ["email", "slice"], "left_anti").unionByName(again), "folded")
+        discard(before)
+    last = now.groupBy("email").agg(F.max_by("s1", "slice").alias("status"), F.sum("changes").alias("changes"))
+    times = slices.groupBy("email").agg(F.max(F.array_max("e")["at"]).alias("at"))
+    return times.join(last, "email").select("email", "at", "status", "changes").filter("status is not null")
 
 
 # --- snapshot merge per micro-batch ---------------------------------------------------------

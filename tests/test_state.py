@@ -1,6 +1,7 @@
 """Hash trees and commits of several tables."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from listwright.operators.digest import digest_id
 from listwright.operators.health import ordered_digest
 from listwright.operators.ordered import hash_tree
 from listwright.sources.state import commit_state, current_versions, read_state, write_state
+from listwright.streaming.jobs import subscription_status
 
 DDL = "id bigint, v string"
 
@@ -72,3 +74,32 @@ def test_single_tables_and_missing_state(spark, tmp_path):
     assert write_state(rows(spark, "x"), root, "a", "1") and not write_state(rows(spark, "x"), root, "a", "2")
     assert write_state(rows(spark), root, "b", "2") and read_state(spark, root, "b", DDL).collect() == []
     assert [r["v"] for r in read_state(spark, root, "a", DDL).collect()] == ["x"]
+
+
+def serial_status(events):
+    out = {}
+    for email, _, action, at, expires in sorted(events, key=lambda e: (e[3], e[1])):
+        status, until, changes, _ = out.get(email, (None, None, 0, None))
+        lapsed = until is None or until < at
+        if action == "subscribe" and (status in (None, "unsubscribed") or (status == "pending" and lapsed)):
+            status, until, changes = "pending", expires, changes + 1
+        elif action == "confirm" and status == "pending" and not lapsed:
+            status, changes = "confirmed", changes + 1
+        elif action == "unsubscribe" and status not in (None, "unsubscribed"):
+            status, changes = "unsubscribed", changes + 1
+        out[email] = (status, until, changes, at)
+    return {k: (at, status, changes) for k, (status, _, changes, at) in out.items() if status is not None}
+
+
+@pytest.mark.parametrize("slice_rows", [2, 7, 10_000])
+def test_subscriptions_fold_alike_in_slices_of_any_size(spark, slice_rows):
+    rnd = random.Random(slice_rows)
+    events = []
+    for k in range(260):
+        email = "hot" if k % 2 else f"a{rnd.randrange(12)}"
+        events.append((email, f"e{k:04d}", rnd.choice(["subscribe", "confirm", "confirm", "unsubscribe"]), rnd.randrange(400), rnd.randrange(500)))
+    # A pending request that lapses only many slices later.
+    events += [("slow", "s0", "subscribe", 0, 900), *[("slow", f"s{i:03d}", "subscribe", i, 5) for i in range(1, 40)], ("slow", "s99", "confirm", 899, 0)]
+    df = spark.createDataFrame(events, "email string, event_id string, action string, at bigint, expires bigint").repartition(5)
+    got = {r["email"]: (r["at"], r["status"], r["changes"]) for r in subscription_status(df, slice_rows).collect()}
+    assert got == serial_status(events)
