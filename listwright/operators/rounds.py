@@ -239,17 +239,19 @@ def greedy_groups(rows: DataFrame) -> DataFrame:
 
     The row with the least ``seq`` gives the group its fields, and lists are joined in the order of ``seq``.
     """
-    rows = cut(rows.select("ord", "keys", "t", offers(C("t")).alias("gives"), asks(C("t")).alias("asks")), "tokens")
-    rows = rows.join(clusters(rows), "ord")
-    held = rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    lasting = rows.select("ord", F.explode("keys").alias("key")).join(held, "key", "left_semi")
-    lasting = lasting.groupBy("ord").agg(F.collect_list("key").alias("keys"))
-    rows = cut(rows.drop("keys").join(lasting, "ord").select("ord", "cluster", "keys", "t", "gives", "asks"), "rows")
-    spark = rows.sparkSession
-    traits = rows.schema["t"].dataType.simpleString()
+    spark, traits = rows.sparkSession, rows.schema["t"].dataType.simpleString()
+    pairs = rows.select("ord", F.explode("keys").alias("key"))
+    held = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    lasting = pairs.join(held, "key", "left_semi").groupBy("ord").agg(F.collect_list("key").alias("keys"))
+    rows = rows.select("ord", "t").join(lasting, "ord").select("ord", "keys", "t", offers(C("t")).alias("gives"), asks(C("t")).alias("asks"))
+    rows = cut(rows, "tokens")
+    nothing = spark.createDataFrame([], "ord long, root long, seq long")
+    if rows.isEmpty():
+        return nothing
+    rows = cut(rows.join(clusters(rows), "ord"), "rows")
     groups = spark.createDataFrame([], f"root long, g {traits}, lo long, hi long")
     group_keys = spark.createDataFrame([], "root long, key string")
-    places, moves = [spark.createDataFrame([], "ord long, root long, seq long")], []
+    places, moves = [nothing], []
     while not rows.isEmpty():
         hits = cut(_hits(rows, groups, group_keys), "hits")
         first = rows.join(_influenced(rows, hits, group_keys), "ord", "left_semi").groupBy("cluster").agg(F.min("ord").alias("stop"))
