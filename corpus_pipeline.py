@@ -51,7 +51,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The classifier, the tokenizer and the packing have no SQL form; tests hold every stage against a brute-force one.
+#: The classifier, the tokenizer and the packing have no SQL form; tests hold the stages to planted rows.
 ORACLE_SQL = None
 
 
