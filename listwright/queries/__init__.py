@@ -4,7 +4,7 @@ from listwright.queries.base import ORACLE, QUERIES
 
 
 def load() -> None:
-    from listwright.queries import branches, functions, kinds, listings, relations, sources  # noqa: F401
+    from listwright.queries import branches, functions, kinds, listings, relations, scans, sources  # noqa: F401
 
 
 __all__ = ["ORACLE", "QUERIES", "load"]
