@@ -763,7 +763,7 @@ def source_keys(spark, d):
 def scan_metrics(spark, d):
     from listwright.queries.tables import registry
 
-    df, reg = records(spark, d), registry(spark, d)
+    df, reg = cut(records(spark, d).select("programme_type", "status", "eligibility_status"), "counted"), registry(spark, d)
     first, second = L.split_open_recent(df)
     health = reg.select(F.when(C("source_ord") % 3 != 0, "healthy").otherwise("failed").alias("status"), C("source_ord").cast("bigint").alias("listing_count"))
     out = serving.scan_metrics(first, second, df.filter("status = 'upcoming'"), df.filter("eligibility_status = 'uncertain'"), health, reg, now())
