@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.session import cut, discard
+from listwright.session import cut, discard, shuffled
 
 
 def shared_pairs(pairs: DataFrame) -> DataFrame:
     """``(node, key)`` pairs whose key more than one node holds, with the key's least node and count."""
     stats = pairs.groupBy("key").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n_key"))
-    return pairs.join(stats.filter("n_key > 1"), "key")
+    return pairs.join(shuffled(stats.filter("n_key > 1")), "key")
 
 
 def key_components(shared: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def _is_star_forest(edges: DataFrame) -> bool:
     totals = edges.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("d")).first()
     if totals["n"] != totals["d"]:
         return False
-    chained = edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    chained = edges.select("u").join(shuffled(edges.select(F.col("v").alias("u")).distinct()), "u", "left_semi")
     return chained.isEmpty()
 
 
@@ -44,7 +44,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return (
-        both.join(least, "u")
+        both.join(shuffled(least), "u")
         .filter("v > u")
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .distinct()
@@ -53,5 +53,5 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(shuffled(least), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

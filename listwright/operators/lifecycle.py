@@ -20,6 +20,7 @@ from listwright.operators.matching import (
 from listwright.operators.ordered import pick_last, previous_row
 from listwright.operators.resolve import resolve
 from listwright.rules.ruleset import RuleSet
+from listwright.session import shuffled
 
 C = F.col
 
@@ -69,8 +70,8 @@ def change_feed(previous: DataFrame, current: DataFrame, now: Column) -> DataFra
     before = previous.select(C("ord").alias("match_id"), F.struct(*[C(n) for n in previous.columns]).alias("p"))
     pairs = (
         current.select("ord", F.struct(*[C(n) for n in current.columns]).alias("c"))
-        .join(matches.select("ord", "match_id"), "ord", "left")
-        .join(before, "match_id", "left")
+        .join(shuffled(matches.select("ord", "match_id")), "ord", "left")
+        .join(shuffled(before), "match_id", "left")
     )
     return pairs.select(
         C("c.id").alias("role_id"),
@@ -154,7 +155,7 @@ def lifecycle(existing: DataFrame, observed: DataFrame, health: DataFrame, now:
         C("ord").alias("old_ord"),
         F.struct("id", "first_seen_at", "last_seen_at", "all_source_urls").alias("o"),
     )
-    fresh = observed.join(pairs, observed["ord"] == pairs["fresh_ord"], "left").drop("fresh_ord").join(old, "old_ord", "left")
+    fresh = observed.join(shuffled(pairs), observed["ord"] == pairs["fresh_ord"], "left").drop("fresh_ord").join(shuffled(old), "old_ord", "left")
     found = C("o").isNotNull()
     kept = {
         "id": F.coalesce("o.id", "id"),
@@ -166,7 +167,7 @@ def lifecycle(existing: DataFrame, observed: DataFrame, health: DataFrame, now:
         ),
     }
     seen = fresh.select(*[kept[n].alias(n) if n in kept else C(n) for n in columns])
-    unseen = existing.join(pairs.select(C("old_ord").alias("ord")), "ord", "left_anti").filter(C("status") != "closed")
+    unseen = existing.join(shuffled(pairs.select(C("old_ord").alias("ord"))), "ord", "left_anti").filter(C("status") != "closed")
     judged = closure_health(unseen, health).withColumn(
         "_missing", C("consecutive_missing_count") + C("safe").cast("int")
     )
@@ -199,7 +200,7 @@ def policy_close(fresh: DataFrame, public: DataFrame, now: Column) -> DataFrame:
         "closure_evidence": C("canonical_url"),
         "consecutive_missing_count": F.lit(0),
     }
-    joined = failing.join(matches.select("ord", "match_id"), "ord").join(before, "match_id")
+    joined = failing.join(shuffled(matches.select("ord", "match_id")), "ord").join(shuffled(before), "match_id")
     return joined.select(*[closing[n].alias(n) if n in closing else C(n) for n in columns])
 
 
@@ -256,7 +257,7 @@ def next_possible(
     known = with_keys(old).withColumn("old_ord", C("ord"))
     seen = first_match(with_keys(fresh), known, "ord", "old_ord", "old_ord")
     firsts = old.select(C("ord").alias("match_id"), C("first_seen_at").alias("_first"))
-    fresh = fresh.join(seen.select("ord", "match_id"), "ord", "left").join(firsts, "match_id", "left")
+    fresh = fresh.join(shuffled(seen.select("ord", "match_id")), "ord", "left").join(shuffled(firsts), "match_id", "left")
     fresh = fresh.withColumns(
         {"first_seen_at": F.coalesce("_first", "first_seen_at"), "last_seen_at": now}
     ).select(*columns)

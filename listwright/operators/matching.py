@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from listwright.functions import text, urls
 from listwright.operators.components import key_components, shared_pairs
 from listwright.operators.ordered import bucket_of, quantile_bounds, rank_within
-from listwright.session import cut
+from listwright.session import cut, shuffled
 
 C = F.col
 
@@ -86,7 +86,7 @@ def first_match(
     best = ranked.groupBy(*scope, "key").agg(F.min(F.struct("_o", "_id")).alias("best"))
     probes = left.select(*scope, C(left_id), F.explode(F.array_distinct("keys")).alias("key"))
     return (
-        probes.join(best, [*scope, "key"])
+        probes.join(shuffled(best), [*scope, "key"])
         .groupBy(left_id)
         .agg(F.min("best").alias("best"))
         .select(left_id, C("best._id").alias("match_id"), C("best._o").alias("match_ord"))
@@ -100,15 +100,15 @@ def policy_matches(fresh: DataFrame, public: DataFrame, left_id: str, right_id:
 
 
 def minus_ids(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
-    return a.join(b.select(key).distinct(), key, "left_anti")
+    return a.join(shuffled(b.select(key).distinct()), key, "left_anti")
 
 
 def minus_keys(a: DataFrame, b: DataFrame, node: str, scope: Sequence[str] = ()) -> DataFrame:
     """Rows of ``a`` that share no key with any row of ``b`` (within ``scope``)."""
     scope = list(scope)
     known = b.select(*scope, F.explode("keys").alias("key")).distinct()
-    hit = exploded(a, node, scope).join(known, [*scope, "key"], "left_semi").select(C("node").alias(node)).distinct()
-    return a.join(hit, node, "left_anti")
+    hit = exploded(a, node, scope).join(shuffled(known), [*scope, "key"], "left_semi").select(C("node").alias(node)).distinct()
+    return a.join(shuffled(hit), node, "left_anti")
 
 
 def not_fetched_now(old: DataFrame, fresh: DataFrame, node: str) -> DataFrame:
@@ -168,18 +168,18 @@ def greedy_match(
     other large one in bounded chunks of fresh rows with the consumed old rows carried along.
     """
     left, right = exploded(fresh, fresh_ord), exploded(existing, old_ord)
-    common = left.select("key").distinct().join(right.select("key").distinct(), "key", "left_semi")
+    common = left.select("key").distinct().join(shuffled(right.select("key").distinct()), "key", "left_semi")
     sided = (
         left.withColumn("side", F.lit("f"))
         .unionByName(right.withColumn("side", F.lit("o")))
-        .join(common, "key", "left_semi")
+        .join(shuffled(common), "key", "left_semi")
         # Even numbers are fresh rows, odd numbers old ones: one graph, distinct nodes.
         .withColumn("vertex", C("node") * 2 + F.when(C("side") == "o", 1).otherwise(0))
     )
     sided = cut(sided, "sided")
     shared = shared_pairs(sided.select(C("vertex").alias("node"), "key"))
     parts = key_components(cut(shared, "shared")).withColumnRenamed("node", "vertex")
-    sided = cut(sided.join(parts, "vertex"), "sided")
+    sided = cut(sided.join(shuffled(parts), "vertex"), "sided")
     sizes = sided.groupBy("component").agg(F.count(F.lit(1)).alias("pairs"))
     # Components share no key, so many small ones can be settled in one call.
     batches = max(1, sided.count() // max_component)

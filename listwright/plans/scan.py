@@ -17,7 +17,7 @@ from listwright.operators.matching import minus_ids
 from listwright.operators.ordered import apply_cap, dedupe_first, dedupe_last, rank_within
 from listwright.operators.resolve import resolve
 from listwright.rules.ruleset import RuleSet
-from listwright.session import cut
+from listwright.session import cut, shuffled
 from listwright.sources import extract, payloads as P
 from listwright.sources.state import commit_state, current_versions, read_state
 
@@ -94,7 +94,7 @@ def in_order(payloads: DataFrame) -> DataFrame:
     numbered = rank_within(cut(numbered, "pages"), ["source_id"], ["_at", "query", "page_no"], F.coalesce(F.unix_micros("_at"), F.lit(-(1 << 62))), "_n")
     numbered = numbered.select(C("source_id").alias("_s"), C("query").alias("_q"), C("page_no").alias("_p"), "_n")
     same = (C("source_id") == C("_s")) & C("query").eqNullSafe(C("_q")) & C("page_no").eqNullSafe(C("_p"))
-    return payloads.join(numbered, same).withColumn("page_no", C("_n").cast("int")).select(*payloads.columns)
+    return payloads.join(shuffled(numbered), same).withColumn("page_no", C("_n").cast("int")).select(*payloads.columns)
 
 
 def distinct_order(registry: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def run_scan(
 
     old_public = L.renumber(state.open, state.recent)
     old_all = cut(L.renumber(old_public, state.closed), "old")
-    old_public = old_all.join(state.closed.select("id"), "id", "left_anti")
+    old_public = old_all.join(shuffled(state.closed.select("id")), "id", "left_anti")
     notes = L.change_feed(L.renumber(old_all, state.possible), roles, now)
     candidates = roles.filter(is_public(assume_open=True))
     judged = current.limit(0) if category else current
