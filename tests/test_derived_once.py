@@ -47,3 +47,8 @@ def test_hits_at_the_ends_and_next_to_blanks(spark):
     df = spark.createDataFrame([("of the end",), ("often the of",), ("",), (None,)], "t string")
     rows = with_hits(df, {"h": (F.col("t"), ["of", "of the", "the"])}).collect()
     assert [sorted(r.h) for r in rows] == [["of", "of the", "the"], ["of", "the"], [], []]
+
+
+def test_pages_of_all_kinds_are_made_once(spark):
+    read = entry.queries()["extract_all_kinds"](spark, SF).inputFiles()
+    assert read and not any(name.startswith(f"file://{SF}") for name in read)
