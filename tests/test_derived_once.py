@@ -52,3 +52,22 @@ def test_hits_at_the_ends_and_next_to_blanks(spark):
 def test_pages_of_all_kinds_are_made_once(spark):
     read = entry.queries()["extract_all_kinds"](spark, SF).inputFiles()
     assert read and not any(name.startswith(f"file://{SF}") for name in read)
+
+
+def test_spread_parts_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from listwright.queries import base
+
+    path = str(tmp_path / "one file")
+    spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("h")).coalesce(1).write.parquet(path)
+    monkeypatch.setattr(base, "PART_BYTES", 1 << 20, raising=False)
+    parts = base.spread(spark.read.parquet(path))
+    assert parts.rdd.getNumPartitions() >= 12 and parts.count() == 200_000
+
+
+def test_approved_rows_are_derived_once(spark, monkeypatch):
+    from listwright.queries import listings
+
+    judged = []
+    monkeypatch.setattr(listings.serving, "approve", lambda kept, rows, asked: judged.append((rows, asked)) or kept)
+    entry.queries()["approve_requests"](spark, SF)
+    assert not any(classifies(df) for df in judged[0])
