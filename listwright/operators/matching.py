@@ -8,15 +8,16 @@ pairs of its rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.functions import text, urls
 from listwright.operators.components import key_components, shared_pairs
 from listwright.operators.ordered import bucket_of, quantile_bounds, rank_within
-from listwright.session import cut, shuffled
+from listwright.session import cut, new_path, shuffled
 
 C = F.col
 
@@ -212,26 +213,92 @@ def _match_by_rank(rows: DataFrame) -> DataFrame:
     return fresh.join(old, ["component", "rank"]).select("fresh_ord", "old_ord")
 
 
+STEP = "component long, fresh_ord long, old_ord long, key string, head long"
+
+
+def _greedy_step(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Serial choice of fresh rows among the next old rows of each key, as far as these decide it.
+
+    Old rows carry their ``rank`` on the key, whether they are ``taken`` and whether the key has a ``rest`` behind them.
+    Returned are pairs, keys with the number of rows at their head that are taken, and the fresh row at which the choice
+    had to stop, because a row behind those given might be the first free one.
+    """
+    component = int(pdf["component"].iat[0])
+    fresh, old = pdf[pdf["side"] == "f"].sort_values("node"), pdf[pdf["side"] == "o"].sort_values("node")
+    queues: dict[str, list[int]] = {}
+    start: dict[str, int] = {}
+    rest: dict[str, bool] = {}
+    for node, key, rank, more in old[["node", "key", "rank", "rest"]].itertuples(index=False, name=None):
+        queues.setdefault(key, []).append(node)
+        start.setdefault(key, int(rank) - 1)
+        rest[key] = bool(more)
+    taken = set(old.loc[old["taken"] == True, "node"].tolist())  # noqa: E712
+    heads = dict.fromkeys(queues, 0)
+    out = []
+    for node, rows in groupby(fresh[["node", "key"]].itertuples(index=False, name=None), key=lambda row: row[0]):
+        best = unseen = None
+        for _, key in rows:
+            queue = queues.get(key)
+            if queue is None:
+                continue
+            at = heads[key]
+            while at < len(queue) and queue[at] in taken:
+                at += 1
+            heads[key] = at
+            if at < len(queue):
+                best = queue[at] if best is None else min(best, queue[at])
+            elif rest[key]:
+                unseen = queue[-1] if unseen is None else min(unseen, queue[-1])
+        if unseen is not None and (best is None or best > unseen):
+            out.append((component, int(node), None, None, None))
+            break
+        if best is not None:
+            taken.add(best)
+            out.append((component, int(node), int(best), None, None))
+    out += [(component, None, None, key, start[key] + at) for key, at in heads.items() if at]
+    made = pd.DataFrame(out, columns=["component", "fresh_ord", "old_ord", "key", "head"])
+    return made.astype({n: "Int64" for n in ("component", "fresh_ord", "old_ord", "head")})
+
+
 def _match_in_chunks(rows: DataFrame, chunk: int) -> DataFrame:
+    """Chunks of fresh rows in their order, each against the next old rows of its keys only.
+
+    Old rows are numbered per key once. How many at a key's head are taken is kept, so that a step is given about twice
+    the rows that its chunk may ask of each key, and goes on behind them where they do not decide; what a step shuffles
+    and writes grows with the chunk, not with the old rows. The broadcasts are tables of one chunk.
+    """
     spark = rows.sparkSession
     rows = cut(rows, "chunked")
     fresh, old = rows.filter("side = 'f'"), rows.filter("side = 'o'")
     total = fresh.count()
-    matched = spark.createDataFrame([], MATCHED)
     if not total:
-        return matched
+        return spark.createDataFrame([], MATCHED)
     bounds = quantile_bounds(fresh, C("node"), -(-total // chunk))
-    numbered = cut(fresh.withColumn("part", bucket_of(C("node"), bounds)), "chunked")
+    parts_path, matched_path, heads_path = (new_path(spark, label) for label in ("parts", "matched", "heads"))
+    numbered = fresh.select("component", "node", "key", "side", bucket_of(C("node"), bounds).alias("part"))
+    numbered.repartition("part").write.partitionBy("part").parquet(parts_path)
+    stored = spark.read.schema(numbered.schema).parquet(parts_path)
+    held = old.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    ranked = rank_within(old.select("component", "node", "key"), ["key"], ["node"], C("node")).join(shuffled(held), "key")
+    ranked = cut(ranked, "ranked")
+    tables = {matched_path: MATCHED, heads_path: "key string, head long"}
+    for path, columns in tables.items():
+        spark.createDataFrame([], columns).write.parquet(path)
+    so_far = lambda path: spark.read.schema(tables[path]).parquet(path)
     for part in range(len(bounds) + 1):
-        mine = numbered.filter(C("part") == part).drop("part")
-        width = mine.select("node").distinct().count()
-        if not width:
-            continue
-        free = old.join(matched.select(C("old_ord").alias("node")), "node", "left_anti")
-        asked = free.join(mine.select("key").distinct(), "key", "left_semi")
-        # A chunk consumes at most `width` old rows, so the first `width` per key are enough.
-        order = Window.partitionBy("key").orderBy("node")
-        near = asked.withColumn("_rn", F.row_number().over(order)).filter(C("_rn") <= width).drop("_rn")
-        step = mine.unionByName(near).groupBy("component").applyInPandas(_greedy_batch, MATCHED)
-        matched = cut(matched.unionByName(step), "matched")
-    return matched
+        left = stored.filter(C("part") == part).drop("part")
+        while not left.isEmpty():
+            asked = left.groupBy("key").agg((F.count(F.lit(1)) * 2 + 16).alias("look"))
+            known = so_far(heads_path).join(F.broadcast(asked.select("key")), "key", "left_semi").groupBy("key").agg(F.max("head").alias("head"))
+            asked = cut(asked.join(known, "key", "left").select("key", "look", F.coalesce("head", F.lit(0)).alias("head")), "asked")
+            near = ranked.join(F.broadcast(asked), "key").filter("rank > head and rank <= head + look")
+            near = cut(near.select("component", "node", "key", "rank", (C("held") > C("head") + C("look")).alias("rest")), "near")
+            gone = so_far(matched_path).select(C("old_ord").alias("node")).join(F.broadcast(near.select("node").distinct()), "node", "left_semi")
+            near = near.join(gone.withColumn("taken", F.lit(True)), "node", "left").withColumn("side", F.lit("o"))
+            step = left.unionByName(near, allowMissingColumns=True).groupBy("component").applyInPandas(_greedy_step, STEP)
+            step = cut(step, "step")
+            step.filter("old_ord is not null").select("fresh_ord", "old_ord").write.mode("append").parquet(matched_path)
+            step.filter("key is not null").select("key", "head").write.mode("append").parquet(heads_path)
+            stops = step.filter("fresh_ord is not null and old_ord is null").select("component", C("fresh_ord").alias("stop"))
+            left = cut(left.join(F.broadcast(stops), "component").filter("node >= stop").drop("stop"), "left")
+    return so_far(matched_path)

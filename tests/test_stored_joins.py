@@ -1,6 +1,7 @@
 """Joins of stored rows: the planner sees small files, yet nothing that grows with the input goes through the driver."""
 
 import pytest
+from helpers import brute_greedy
 from pyspark.sql import functions as F
 
 from listwright.operators import components, matching
@@ -38,3 +39,22 @@ def test_results_stay(stored):
     assert matching.minus_keys(stored, half, "ord").count() == 0
     first = matching.first_match(stored, half.withColumn("old", F.col("ord")), "ord", "old", "old")
     assert all(r.match_id == r.ord % 40 for r in first.collect())
+
+
+def test_steps_of_a_greedy_match_get_a_share_of_the_old_rows(spark, monkeypatch):
+    fresh = [(i, {"a"} if i < 60 else {"b"}) for i in range(70)]
+    old = [(i, {"a", "b"}) for i in range(80)] + [(i, {"b"}) for i in range(80, 300)]
+    sides = [spark.createDataFrame([(n, sorted(k)) for n, k in side], "ord long, keys array<string>") for side in (fresh, old)]
+    given, write = [], matching.cut
+
+    def spy(df, label="cut"):
+        kept = write(df, label)
+        if label == "near":
+            given.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(matching, "cut", spy)
+    got = matching.greedy_match(*sides, "ord", "ord", 3, 35)
+    assert {(r.fresh_ord, r.old_ord) for r in got.collect()} == brute_greedy(fresh, old)
+    # Two keys are asked for at most twice the chunk's rows each, of 380 old rows with their keys.
+    assert given and max(given) <= 2 * 35 + 2 * 16
