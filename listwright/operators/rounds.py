@@ -1,16 +1,20 @@
-"""Ordered greedy grouping in parallel rounds.
+"""Ordered greedy grouping, component by component.
 
 Rows arrive in the order of ``ord``. A row joins every group with which it shares a key and does not conflict; several
 groups joined by one row become one, the earliest; a row without such a group opens one. A group's traits are those of
-its row of highest authority, so later decisions depend on earlier ones. The rounds give the same result as taking the
-rows one by one, with joins and aggregates only.
+its row of highest authority, so later decisions depend on earlier ones.
+
+Rows of different components of shared keys never meet. A component of up to ``SERIAL_ROWS`` rows is taken row by row in
+one task, many components side by side. A larger one is split where no chain of compatible rows links its parts; what is
+still larger is settled in turns of a parallel round, which settles all rows that no earlier row can influence, and a
+step that takes the next ``SERIAL_ROWS`` rows of the order one by one, with the groups that they may join. So a hot key
+whose rows agree takes a few turns however many rows it has, and any other at most one turn per ``SERIAL_ROWS`` rows.
 
 In each round every row that is left is compared with the groups as they stand. The outcome is final for a row that no
 earlier row of its cluster could influence; a row could influence a later one when it opens a group that the later one
 might join, brings a group to a key that the later one holds, changes the traits of a group so that the later one's
 answer changes, or unites groups. All rows before the first influenced row of their cluster are settled together, and
-so are rows that are first on all their keys and on all groups these keys lead to. A hot key whose rows agree is
-settled in a few rounds however many rows it has, and many small clusters are settled side by side.
+so are rows that are first on all their keys and on all groups these keys lead to.
 
 Compatibility becomes equality: a row offers one token for each way in which its fields may be met and asks for those
 that it meets, so "an earlier compatible row" is a minimum per key and token, and no pairs of rows are made.
@@ -18,16 +22,20 @@ that it meets, so "an earlier compatible row" is a minimum per key and token, an
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listwright.operators.components import key_components, shared_pairs
-from listwright.session import cut, discard
+from listwright.operators.ordered import rank_within
+from listwright.session import cut, discard, shuffled
 
 C = F.col
+#: Rows that one task takes one by one: of small components together, or of one step through a large one.
+SERIAL_ROWS = 20_000
 #: Fields that must be equal where both rows have them.
 EXACT = ("office", "division", "start")
 #: Everything that a group takes over from its row of highest authority.
@@ -77,15 +85,11 @@ def _with_division(t: Column, division: Column) -> Column:
     return t.withField("division", division)
 
 
-def clusters(rows: DataFrame) -> DataFrame:
-    """``(ord, cluster)`` of rows with shared keys: rows of different clusters never meet in a group.
+def clusters(placed: DataFrame) -> DataFrame:
+    """``(ord, cluster)`` of rows with their ``component``: rows of different clusters never meet in a group.
 
     Rows of one component of shared keys belong together when a chain of rows that do not conflict links them.
     """
-    pairs = rows.select(C("ord").alias("node"), F.explode("keys").alias("key"))
-    shared = cut(shared_pairs(pairs), "shared")
-    parts = cut(key_components(shared).withColumnRenamed("node", "ord"), "parts")
-    placed = rows.join(parts, "ord").select("ord", "component", "gives", "asks")
     give = placed.select("ord", "component", F.explode("gives").alias("token"), F.lit(True).alias("given"))
     take = placed.select("ord", "component", F.explode("asks").alias("token"), F.lit(False).alias("given"))
     both = cut(give.unionByName(take).select("ord", F.struct("component", "token").alias("key"), "given"), "tokens")
@@ -234,59 +238,245 @@ def settled_moves(moves: DataFrame) -> DataFrame:
             return at
 
 
+# --- row by row -----------------------------------------------------------------------------
+
+
+def _pattern(t: tuple) -> tuple:
+    """Fields that decide conflicts; None meets anything."""
+    _, _, office, division, start, loc, multi, london = t
+    return start, None if multi else "london" if london else f"@{loc}", division, office
+
+
+def _met(level: dict, pattern: tuple, depth: int = 0) -> Iterator[int]:
+    if depth == len(pattern):
+        yield from level
+        return
+    value = pattern[depth]
+    for name in list(level) if value is None else (None, value):
+        if name in level:
+            yield from _met(level[name], pattern, depth + 1)
+
+
+def _serial(pdf: pd.DataFrame) -> tuple[list, dict, dict]:
+    """Rows in order, behind the groups given: places, groups that went into others, and the groups left."""
+    traits: dict[int, tuple] = {}
+    ends: dict[int, tuple[int, int]] = {}
+    held: dict[int, set] = {}
+    index: dict[str, dict] = {}
+    named: dict[tuple, set] = {}
+    heads: dict[int, tuple[int, int]] = {}
+    places = []
+
+    def enter(root: int, keys) -> None:
+        for key in keys:
+            level = index.setdefault(key, {})
+            for value in _pattern(traits[root]):
+                level = level.setdefault(value, {})
+            level[root] = None
+            named.setdefault((key, traits[root][1]), set()).add(root)
+
+    def leave(root: int, keys) -> None:
+        for key in keys:
+            level = index[key]
+            for value in _pattern(traits[root]):
+                level = level[value]
+            del level[root]
+            named[key, traits[root][1]].discard(root)
+
+    def take(root: int, t: tuple, lo: int, hi: int, keys: set) -> int:
+        """Put a row or group into ``root``, in front if its authority is higher; how far its places move."""
+        mine, (first, last) = traits[root], ends[root]
+        front = t[0] > mine[0]
+        lead, other = (t, mine) if front else (mine, t)
+        after = (*lead[:3], other[3] if lead[3] is None else lead[3], *lead[4:])
+        if after != mine:
+            leave(root, held[root])
+            traits[root] = after
+            enter(root, held[root])
+        enter(root, keys - held[root])
+        held[root] |= keys
+        ends[root] = (first - (hi - lo + 1), last) if front else (first, last + hi - lo + 1)
+        return first - 1 - hi if front else last + 1 - lo
+
+    columns = ["side", "id", "lo", "hi", "keys", *TRAITS]
+    for side, at, lo, hi, keys, *t in pdf.sort_values(["side", "id"])[columns].itertuples(index=False, name=None):
+        keys = set(keys)
+        t = tuple(None if x is None or x != x else x for x in t)
+        hits = set()
+        if side == "row":
+            for key in keys:
+                hits.update(_met(index.get(key, {}), _pattern(t)), named.get((key, t[1]), ()))
+        if not hits:
+            traits[at], ends[at], held[at] = t, (lo, hi), keys
+            enter(at, keys)
+            if side == "row":
+                places.append((at, at, 0))
+            continue
+        base, *more = sorted(hits)
+        places.append((at, base, take(base, t, 0, 0, keys)))
+        for root in reversed(more):
+            gone = traits[root], *ends[root], held.pop(root)
+            leave(root, gone[-1])
+            del traits[root]
+            heads[root] = base, take(base, *gone)
+
+    def settled(root: int, seq: int) -> tuple[int, int]:
+        trail = []
+        while root in heads:
+            trail.append(root)
+            root = heads[root][0]
+        shift = 0
+        for step in reversed(trail):
+            shift += heads[step][1]
+            heads[step] = root, shift
+        return root, seq + shift
+
+    places = [(at, *settled(root, seq)) for at, root, seq in places]
+    moves = {root: settled(root, 0) for root in list(heads)}
+    return places, moves, {root: (*ends[root], *t) for root, t in traits.items()}
+
+
+PLACED = "ord long, root long, seq long"
+
+
+def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame(_serial(pdf)[0], columns=["ord", "root", "seq"], dtype="int64")
+
+
+def _settle_step(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Places, moves of the groups given and the groups after the step, told apart by ``kind``."""
+    given = set(pdf.loc[pdf["side"] == "group", "id"].tolist())
+    places, moves, groups = _serial(pdf)
+    none = (None,) * len(TRAITS)
+    out = [("place", *row, None, None, *none) for row in places]
+    out += [("move", root, *to, None, None, *none) for root, to in moves.items() if root in given]
+    out += [("group", None, root, None, *rest) for root, rest in groups.items()]
+    made = pd.DataFrame(out, columns=["kind", "ord", "root", "seq", "lo", "hi", *TRAITS])
+    return made.astype({n: "Int64" for n in ("ord", "root", "seq", "lo", "hi", "rank")})
+
+
+def _as_input(rows: DataFrame, side: str, number: str, traits: str, lo: Column, hi: Column, *more: str) -> DataFrame:
+    return rows.select(
+        *more, F.lit(side).alias("side"), C(number).alias("id"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"),
+        "keys", *[C(f"{traits}.{n}").alias(n) for n in TRAITS],
+    )
+
+
+def _in_batches(rows: DataFrame, part: str) -> DataFrame:
+    """``(ord, root, seq)`` of rows whose ``part`` has at most ``SERIAL_ROWS`` of them, many parts in one task."""
+    batches = max(1, rows.count() // SERIAL_ROWS * 2, rows.sparkSession.sparkContext.defaultParallelism)
+    given = _as_input(rows, "row", "ord", "t", F.lit(0), F.lit(0), part)
+    return given.groupBy(F.pmod(F.xxhash64(part), F.lit(batches)).alias("b")).applyInPandas(_settle, PLACED)
+
+
+def _by_size(rows: DataFrame, part: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the parts that one task may take, and the others if there are any."""
+    large = cut(rows.groupBy(part).agg(F.count(F.lit(1)).alias("n")).filter(C("n") > SERIAL_ROWS).select(part), "large")
+    if large.isEmpty():
+        return rows, None
+    # A large part has more than SERIAL_ROWS rows, so there are few of them.
+    return rows.join(large, part, "left_anti"), rows.join(large, part, "left_semi")
+
+
 def greedy_groups(rows: DataFrame) -> DataFrame:
     """``(ord, root, seq)`` of ``rows (ord, keys, t)``: the opening row of each one's group, and its place in it.
 
     The row with the least ``seq`` gives the group its fields, and lists are joined in the order of ``seq``.
     """
+    pairs = rows.select(C("ord").alias("node"), F.explode("keys").alias("key"))
+    shared = cut(shared_pairs(pairs), "shared")
+    parts = key_components(shared).withColumnRenamed("node", "ord")
+    lasting = shared.groupBy(C("node").alias("ord")).agg(F.collect_list("key").alias("keys"))
+    rows = rows.select("ord", "t").join(shuffled(lasting), "ord").join(shuffled(parts), "ord")
+    rows = cut(rows.select("ord", "keys", "t", "component"), "rows")
+    small, large = _by_size(rows, "component")
+    places = _in_batches(small, "component")
+    if large is None:
+        return places
+    large = cut(large.withColumns({"gives": offers(C("t")), "asks": asks(C("t"))}), "tokens")
+    large = cut(large.drop("component").join(shuffled(clusters(large)), "ord"), "clusters")
+    small, large = _by_size(large, "cluster")
+    places = places.unionByName(_in_batches(small, "cluster"))
+    return places if large is None else places.unionByName(_in_turns(large))
+
+
+def _round(rows: DataFrame, groups: DataFrame, group_keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Settle all rows that no earlier row can influence: their places, moves, and the groups and their keys."""
+    hits = cut(_hits(rows, groups, group_keys), "hits")
+    first = rows.join(_influenced(rows, hits, group_keys), "ord", "left_semi").groupBy("cluster").agg(F.min("ord").alias("stop"))
+    early = rows.join(first, "cluster", "left").filter("stop is null or ord < stop").select("ord")
+    done = cut(early.unionByName(_first_everywhere(rows, group_keys)).distinct(), "done")
+    now = hits.join(done, "ord", "left_semi")
+    opened = rows.join(done, "ord", "left_semi").join(hits, "ord", "left_anti")
+
+    one_places, one_groups = _joined(now.filter("n = 1"))
+    fresh = opened.select(C("ord").alias("root"), C("t").alias("g"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+    groups = groups.join(one_groups, "root", "left_anti").unionByName(one_groups).unionByName(fresh)
+    group_keys = group_keys.unionByName(opened.select(C("ord").alias("root"), F.explode("keys").alias("key")))
+    group_keys = group_keys.unionByName(now.groupBy("ord").agg(F.min("root").alias("root"), F.first("keys").alias("keys")).select("root", F.explode("keys").alias("key")))
+    place = one_places.unionByName(opened.select("ord", C("ord").alias("root"), F.lit(0).cast("long").alias("seq")))
+    many_places, many_groups, moves = _united(now.filter("n > 1"), groups)
+    moves = cut(moves, "moves")
+    parent = moves.select(C("child").alias("root"), "parent")
+    gone = many_groups.select("root").unionByName(parent.select("root"))
+    groups = groups.join(gone, "root", "left_anti").unionByName(many_groups)
+    group_keys = group_keys.join(parent, "root", "left").select(F.coalesce("parent", "root").alias("root"), "key")
+    return cut(place.unionByName(many_places), "places"), moves, groups, group_keys
+
+
+def _step(rows: DataFrame, groups: DataFrame, group_keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """As ``_round`` for the next rows of every cluster, one by one.
+
+    A group changes only when a row joins it, so those that no row can join as they stand are not needed.
+    """
+    keyed = rows.select("cluster", F.explode("keys").alias("key"), "asks")
+    offered = groups.join(group_keys, "root").select("root", "key", F.explode(offers(C("g"))).alias("token"))
+    wanted = keyed.select("cluster", "key", F.explode("asks").alias("token")).distinct()
+    near = cut(wanted.join(offered, ["key", "token"]).select("cluster", "root").distinct(), "near")
+    held = group_keys.distinct().join(keyed.select("key").distinct(), "key", "left_semi").groupBy("root").agg(F.collect_list("key").alias("keys"))
+    old = near.join(groups, "root").join(held, "root")
+    given = _as_input(rows, "row", "ord", "t", F.lit(0), F.lit(0), "cluster").unionByName(
+        _as_input(old, "group", "root", "g", C("lo"), C("hi"), "cluster")
+    )
+    fields = groups.schema["g"].dataType
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    out = given.groupBy("cluster").applyInPandas(_settle_step, f"kind string, {PLACED}, lo long, hi long, {columns}")
+    out = cut(out, "step")
+    place = out.filter("kind = 'place'").select("ord", "root", "seq")
+    moves = out.filter("kind = 'move'").select(C("ord").alias("child"), C("root").alias("parent"), C("seq").alias("shift"))
+    after = out.filter("kind = 'group'").select("root", F.struct(*TRAITS).cast(fields).alias("g"), "lo", "hi")
+    gone = near.select("root").unionByName(after.select("root")).distinct()
+    groups = groups.join(gone, "root", "left_anti").unionByName(after)
+    parent = moves.select(C("child").alias("root"), "parent")
+    group_keys = group_keys.join(parent, "root", "left").select(F.coalesce("parent", "root").alias("root"), "key")
+    brought = rows.select("ord", "keys").join(shuffled(place), "ord").select("root", F.explode("keys").alias("key"))
+    return place, moves, groups, group_keys.unionByName(brought)
+
+
+def _in_turns(rows: DataFrame) -> DataFrame:
+    """``(ord, root, seq)`` of clusters that are too large for one task: parallel rounds and serial steps by turns."""
     spark, traits = rows.sparkSession, rows.schema["t"].dataType.simpleString()
-    pairs = rows.select("ord", F.explode("keys").alias("key"))
-    held = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    lasting = pairs.join(held, "key", "left_semi").groupBy("ord").agg(F.collect_list("key").alias("keys"))
-    rows = rows.select("ord", "t").join(lasting, "ord").select("ord", "keys", "t", offers(C("t")).alias("gives"), asks(C("t")).alias("asks"))
-    rows = cut(rows, "tokens")
-    nothing = spark.createDataFrame([], "ord long, root long, seq long")
-    if rows.isEmpty():
-        return nothing
-    rows = cut(rows.join(clusters(rows), "ord"), "rows")
+    turns = rank_within(rows.select("ord", "cluster"), ["cluster"], ["ord"], C("ord"))
+    turns = turns.select("ord", F.floor((C("rank") - 1) / SERIAL_ROWS).alias("turn"))
+    rows = cut(rows.join(shuffled(turns), "ord"), "rows")
     groups = spark.createDataFrame([], f"root long, g {traits}, lo long, hi long")
     group_keys = spark.createDataFrame([], "root long, key string")
-    places, moves = [nothing], []
-    while not rows.isEmpty():
-        hits = cut(_hits(rows, groups, group_keys), "hits")
-        first = rows.join(_influenced(rows, hits, group_keys), "ord", "left_semi").groupBy("cluster").agg(F.min("ord").alias("stop"))
-        early = rows.join(first, "cluster", "left").filter("stop is null or ord < stop").select("ord")
-        done = cut(early.unionByName(_first_everywhere(rows, group_keys)).distinct(), "done")
-        now = hits.join(done, "ord", "left_semi")
-        opened = rows.join(done, "ord", "left_semi").join(hits, "ord", "left_anti")
-
-        one_places, one_groups = _joined(now.filter("n = 1"))
-        fresh = opened.select(C("ord").alias("root"), C("t").alias("g"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
-        groups = groups.join(one_groups, "root", "left_anti").unionByName(one_groups).unionByName(fresh)
-        group_keys = group_keys.unionByName(opened.select(C("ord").alias("root"), F.explode("keys").alias("key")))
-        group_keys = group_keys.unionByName(now.groupBy("ord").agg(F.min("root").alias("root"), F.first("keys").alias("keys")).select("root", F.explode("keys").alias("key")))
-        place = one_places.unionByName(opened.select("ord", C("ord").alias("root"), F.lit(0).cast("long").alias("seq")))
-        many = now.filter("n > 1")
-        if not many.isEmpty():
-            many_places, many_groups, many_moves = _united(many, groups)
-            many_moves = cut(many_moves, "moves")
-            moves.append(many_moves)
-            parent = many_moves.select(C("child").alias("root"), "parent")
-            gone = many_groups.select("root").unionByName(parent.select("root"))
-            groups = groups.join(gone, "root", "left_anti").unionByName(many_groups)
-            group_keys = group_keys.join(parent, "root", "left").select(F.coalesce("parent", "root").alias("root"), "key")
-            place = place.unionByName(many_places)
-        places.append(cut(place, "places"))
-        rows = cut(rows.join(done, "ord", "left_anti"), "rows")
-        # Only keys that rows still hold lead to groups that matter.
-        live = rows.select(F.explode("keys").alias("key")).distinct()
-        group_keys = cut(group_keys.distinct().join(live, "key", "left_semi"), "group_keys")
-        groups = cut(groups.join(group_keys, "root", "left_semi"), "groups")
-        discard(hits)
-    placed = reduce(DataFrame.unionByName, places)
-    if not moves:
+    places, moves = [], []
+    while (turn := rows.agg(F.min("turn")).first()[0]) is not None:
+        for settle, some in ((_round, rows), (_step, None)):
+            some = rows.filter(C("turn") == turn) if some is None else some
+            place, moved, groups, group_keys = settle(some, groups, group_keys)
+            places.append(place)
+            moves.append(moved)
+            rows = cut(rows.join(shuffled(place.select("ord")), "ord", "left_anti"), "rows")
+            # Only keys that rows still hold lead to groups that matter.
+            live = rows.select(F.explode("keys").alias("key")).distinct()
+            group_keys = cut(group_keys.distinct().join(shuffled(live), "key", "left_semi"), "group_keys")
+            groups = cut(groups.join(shuffled(group_keys), "root", "left_semi"), "groups")
+    placed, moves = reduce(DataFrame.unionByName, places), cut(reduce(DataFrame.unionByName, moves), "moves")
+    if moves.isEmpty():
         return placed
-    heads = settled_moves(reduce(DataFrame.unionByName, moves))
-    return placed.join(heads, placed["root"] == heads["child"], "left").select(
+    heads = settled_moves(moves)
+    return placed.join(shuffled(heads), placed["root"] == heads["child"], "left").select(
         "ord", F.coalesce("head", "root").alias("root"), (C("seq") + F.coalesce("offset", F.lit(0))).alias("seq")
     )
