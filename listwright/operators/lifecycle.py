@@ -20,7 +20,7 @@ from listwright.operators.matching import (
 from listwright.operators.ordered import pick_last, previous_row
 from listwright.operators.resolve import resolve
 from listwright.rules.ruleset import RuleSet
-from listwright.session import shuffled
+from listwright.session import cut, shuffled
 
 C = F.col
 
@@ -150,7 +150,8 @@ def closure_health(existing: DataFrame, health: DataFrame) -> DataFrame:
 def lifecycle(existing: DataFrame, observed: DataFrame, health: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """``(retained, newly_closed)`` after one scan. Both inputs carry unique ``ord`` numbers."""
     columns = observed.columns
-    pairs = greedy_match(with_keys(observed), with_keys(existing), "ord", "ord")
+    # Both the rows seen again and those unseen read the pairs.
+    pairs = cut(greedy_match(with_keys(observed), with_keys(existing), "ord", "ord"), "pairs")
     old = existing.select(
         C("ord").alias("old_ord"),
         F.struct("id", "first_seen_at", "last_seen_at", "all_source_urls").alias("o"),

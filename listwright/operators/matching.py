@@ -128,9 +128,9 @@ def _greedy(fresh: pd.DataFrame, old: pd.DataFrame) -> list[tuple[int, int]]:
     heads = dict.fromkeys(by_key, 0)
     taken: set[int] = set()
     out = []
-    for node, keys in fresh.groupby("node", sort=True)["key"]:
+    for node, rows in groupby(fresh.sort_values("node")[["node", "key"]].itertuples(index=False, name=None), key=lambda row: row[0]):
         best = None
-        for key in keys:
+        for _, key in rows:
             queue = by_key.get(key)
             if queue is None:
                 continue
@@ -169,11 +169,11 @@ def greedy_match(
     other large one in bounded chunks of fresh rows with the consumed old rows carried along.
     """
     left, right = exploded(fresh, fresh_ord), exploded(existing, old_ord)
-    common = left.select("key").distinct().join(shuffled(right.select("key").distinct()), "key", "left_semi")
+    # Keys are costly to make: once for both uses.
+    keyed = cut(left.withColumn("side", F.lit("f")).unionByName(right.withColumn("side", F.lit("o"))), "keyed")
+    common = keyed.groupBy("key").agg(F.min("side").alias("least"), F.max("side").alias("most")).filter("least <> most")
     sided = (
-        left.withColumn("side", F.lit("f"))
-        .unionByName(right.withColumn("side", F.lit("o")))
-        .join(shuffled(common), "key", "left_semi")
+        keyed.join(shuffled(common.select("key")), "key", "left_semi")
         # Even numbers are fresh rows, odd numbers old ones: one graph, distinct nodes.
         .withColumn("vertex", C("node") * 2 + F.when(C("side") == "o", 1).otherwise(0))
     )

@@ -11,7 +11,7 @@ from listwright.operators import matching as M
 from listwright.operators import ordered as O
 from listwright.operators import serving
 from listwright.operators.components import key_components, shared_pairs
-from listwright.operators.resolve import group_rows, materially_distinct, resolve, traits
+from listwright.operators.resolve import FILLED, group_rows, materially_distinct, resolve, traits
 from listwright.queries.base import query, s_norm, table
 from listwright.queries.tables import RECORDS_SQL, RULES, now, records, s_possible
 from listwright.session import cut
@@ -213,7 +213,9 @@ r_urls as (select root, count(distinct url) as urls from (
 )
 def resolve_listings(spark, d):
     """Ordered greedy merging; the SQL takes the rows of each component one by one."""
-    return resolve(records(spark, d)).select(
+    merged = ("first_seen_at", "last_seen_at", "all_source_urls", "secondary_tags", "eligibility_evidence", "match_score")
+    filled = [n for n in FILLED if n not in KEYED]
+    return resolve(records(spark, d).select(*KEYED, "source_authority", "location_type", *filled, *merged)).select(
         "id", "ord", F.size("all_source_urls").cast("bigint").alias("urls"), F.size("eligibility_evidence").cast("bigint").alias("evidence"),
         F.array_join("secondary_tags", "|").alias("tags"), "match_score",
     )
@@ -574,8 +576,18 @@ S_LIFE = f"""{RECORDS_SQL}, ex as (select *, n % 3 as miss from records where n
   safe as (select id as sid, i % 3 <> 0 as ok from registry)"""
 
 
-def _life(spark, d):
-    """Stored rows, this scan's rows and source health, one listing being one entity."""
+#: What match keys and the order of rows are made of.
+KEYED = (
+    "id", "ord", "canonical_employer", "title", "location", "division", "named_office_or_mp", "source_registry_id", "source_identifier",
+    "application_url", "canonical_url", "programme_start", "programme_end", "deadline",
+)
+
+
+def _life(spark, d, *read):
+    """Stored rows, this scan's rows and source health, one listing being one entity.
+
+    ``read`` names the columns that a query uses beside ``KEYED``; others are neither derived nor stored. None given: all.
+    """
     base = records(spark, d).withColumn("n", C("source_identifier").cast("bigint"))
     alone = base.withColumns(
         {
@@ -584,7 +596,7 @@ def _life(spark, d):
             "ord": C("n"),
         }
     )
-    alone = cut(alone, "life")
+    alone = cut(alone.select("n", *KEYED, *read) if read else alone, "life")
     keep = [c for c in alone.columns if c != "n"]
     existing = alone.filter("n % 2 = 0 and n % 10 <> 8").withColumns(
         {"consecutive_missing_count": (C("n") % 3).cast("int"), "first_seen_at": F.lit("2026-01-05").cast("timestamp"),
@@ -610,7 +622,8 @@ def _life(spark, d):
     select * from seen union all select * from gone""",
 )
 def snapshot_lifecycle(spark, d):
-    existing, observed, health = _life(spark, d)
+    read = ("status", "first_seen_at", "last_seen_at", "all_source_urls", "consecutive_missing_count", "source_type")
+    existing, observed, health = _life(spark, d, *read)
     retained, closed = L.lifecycle(existing, observed, health, now())
     return retained.unionByName(closed).select(
         "id", C("consecutive_missing_count").alias("missing"), "status", F.date_format("first_seen_at", "yyyy-MM-dd").alias("first_seen")
@@ -622,7 +635,7 @@ def snapshot_lifecycle(spark, d):
     f"""{S_LIFE} select 'old-' || e.id as id, ok as safe from ex e join safe on sid = source_id""",
 )
 def closure_health(spark, d):
-    existing, _, health = _life(spark, d)
+    existing, _, health = _life(spark, d, "source_type")
     return L.closure_health(existing, health).select("id", "safe")
 
 
@@ -650,7 +663,8 @@ def policy_close(spark, d):
       'observed_unchanged') end as changes from ob o left join ex e on e.n = o.n""",
 )
 def change_detection(spark, d):
-    existing, observed, _ = _life(spark, d)
+    read = ("status", "opening_date", "eligibility_status", "eligibility_evidence", "geographic_scope", "programme_type")
+    existing, observed, _ = _life(spark, d, *read)
     n = C("source_identifier").cast("bigint")
     before = existing.withColumns(
         {
