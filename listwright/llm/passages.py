@@ -242,11 +242,14 @@ def linked(scratch: Scratch, bands: DataFrame, nodes: DataFrame, s: Settings) ->
         members = members.join(shuffled(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     else:
         members = members.withColumn("component", C("node"))
-    members = members.repartition("key")
+    # Stored by node before they are dealt out by key, so that the files of one shuffle lie on disk and not of both.
+    labelled = scratch.keep(members.select("key", "node", "component"), "labelled")
+    scratch.drop(shared)
+    members = labelled.repartition("key")
     split = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"))
     members = members.join(shuffled(split.filter("x <> y").select("key", "members")), "key")
     members = scratch.keep(members, "members")
-    scratch.drop(shared)
+    scratch.drop(labelled)
     few = members.filter(C("members") <= PAIRED).join(shuffled(marks), "node").repartition("key")
     side = lambda x: few.select("key", *(C(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "even", "odd")))
     pairs = side("a").join(shuffled(side("b")), "key").filter((C("node_a") < C("node_b")) & (C("component_a") != C("component_b")) & within(s.percent))

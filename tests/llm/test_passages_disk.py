@@ -17,7 +17,7 @@ def test_sets_and_places_go_when_nothing_reads_them(spark):
     assert len({r["doc_id"] for r in passages.repeated_passages(spark, docs_frame(spark, rows)).collect()}) == 6
     (made,) = set(folder.glob("passages-*")) - before
     left = {p.name.split("-")[0] for p in made.iterdir() if any(p.iterdir())}
-    assert not left & {"chosen", "repeats", "texts", "nodes", "paragraphs", "shared", "members"}
+    assert not left & {"chosen", "repeats", "texts", "nodes", "paragraphs", "shared", "labelled", "members"}
 
 
 def test_marks_never_differ_in_more_bins_than_sets_in_items():
