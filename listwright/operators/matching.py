@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from listwright.functions import text, urls
 from listwright.operators.components import key_components, shared_pairs
-from listwright.operators.ordered import bucket_of, quantile_bounds, rank_within
+from listwright.operators.ordered import rank_within
 from listwright.session import cut, new_path, shuffled
 
 C = F.col
@@ -165,36 +165,47 @@ def greedy_match(
     """``(fresh_ord, old_ord)``: each fresh row, in order, takes the first free old row sharing a key.
 
     Rows in different key components cannot compete, so components are settled independently:
-    small ones whole in one task, one where every row shares a key by pairing equal ranks, and any
-    other large one in bounded chunks of fresh rows with the consumed old rows carried along.
+    small ones many in one call, one where every row shares a key by pairing equal ranks, others of up
+    to ten chunks whole in one task, and any larger one in bounded chunks of fresh rows with the
+    consumed old rows carried along.
     """
     left, right = exploded(fresh, fresh_ord), exploded(existing, old_ord)
     # Keys are costly to make: once for both uses.
     keyed = cut(left.withColumn("side", F.lit("f")).unionByName(right.withColumn("side", F.lit("o"))), "keyed")
     common = keyed.groupBy("key").agg(F.min("side").alias("least"), F.max("side").alias("most")).filter("least <> most")
     sided = (
-        keyed.join(shuffled(common.select("key")), "key", "left_semi")
-        # Even numbers are fresh rows, odd numbers old ones: one graph, distinct nodes.
+        keyed.join(shuffled(common.select("key")), "key", "left_semi").filter("node is not null").distinct()
+        # Even numbers are fresh rows, odd numbers old ones: distinct vertices.
         .withColumn("vertex", C("node") * 2 + F.when(C("side") == "o", 1).otherwise(0))
+        # Two keys of one number would only make one component of theirs.
+        .withColumn("number", F.xxhash64("key"))
     )
     sided = cut(sided, "sided")
-    shared = shared_pairs(sided.select(C("vertex").alias("node"), "key"))
-    parts = key_components(cut(shared, "shared")).withColumnRenamed("node", "vertex")
-    sided = cut(sided.join(shuffled(parts), "vertex"), "sided")
-    sizes = sided.groupBy("component").agg(F.count(F.lit(1)).alias("pairs"))
+    # Keys are the nodes and rows what they share: rows of one key, most of all, make no edge.
+    shared = shared_pairs(sided.select(C("number").alias("node"), C("vertex").alias("key")))
+    parts = key_components(cut(shared, "shared")).withColumnRenamed("node", "number")
+    sided = sided.join(shuffled(parts), "number", "left").withColumn("component", F.coalesce("component", "number")).drop("number")
+    sided = cut(sided, "sided")
+    sizes = cut(sided.groupBy("component").agg(F.count(F.lit(1)).alias("pairs")), "sizes")
     # Components share no key, so many small ones can be settled in one call.
-    batches = max(1, sided.count() // max_component)
+    batches = max(1, (sizes.agg(F.sum("pairs")).first()[0] or 0) // max_component)
     batch = lambda df: df.groupBy(F.pmod(F.xxhash64("component"), F.lit(batches)).alias("b")).applyInPandas(
         _greedy_batch, MATCHED
     )
     if sizes.filter(C("pairs") > max_component).isEmpty():
         return batch(sided)
-    small = sided.join(sizes.filter(C("pairs") <= max_component), "component", "left_semi")
-    large = cut(sided.join(sizes.filter(C("pairs") > max_component), "component", "left_semi"), "large")
-    done = batch(small)
-    hubs = _hub_components(large)
+    of_size = lambda rows, low, high: rows.join(
+        shuffled(sizes.filter((C("pairs") > low) & (C("pairs") <= high)).select("component")), "component", "left_semi"
+    )
+    done = batch(of_size(sided, 0, max_component))
+    large = cut(of_size(sided, max_component, 1 << 62), "large")
+    hubs = cut(_hub_components(large), "hubs")
     done = done.unionByName(_match_by_rank(large.join(hubs, "component", "left_semi")))
-    return done.unionByName(_match_in_chunks(large.join(hubs, "component", "left_anti"), chunk))
+    rest = large.join(hubs, "component", "left_anti")
+    whole = max(max_component, 10 * chunk)
+    one = of_size(rest, max_component, whole).select("component", "side", "node", "key")
+    done = done.unionByName(one.groupBy("component").applyInPandas(_greedy_batch, MATCHED))
+    return done.unionByName(_match_in_chunks(of_size(rest, whole, 1 << 62), chunk))
 
 
 def _hub_components(large: DataFrame) -> DataFrame:
@@ -261,22 +272,25 @@ def _greedy_step(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _match_in_chunks(rows: DataFrame, chunk: int) -> DataFrame:
-    """Chunks of fresh rows in their order, each against the next old rows of its keys only.
+    """Rounds in which every component takes the next ``chunk`` of its fresh rows, each against the next old rows of its
+    keys only. Components share no key, so a round settles all of them side by side.
 
     Old rows are numbered per key once. How many at a key's head are taken is kept, so that a step is given about twice
-    the rows that its chunk may ask of each key, and goes on behind them where they do not decide; what a step shuffles
-    and writes grows with the chunk, not with the old rows. The broadcasts are tables of one chunk.
+    the rows that its chunk may ask of each key, and goes on behind them where they do not decide; what a task is given
+    grows with the chunk, not with the old rows.
     """
     spark = rows.sparkSession
     rows = cut(rows, "chunked")
     fresh, old = rows.filter("side = 'f'"), rows.filter("side = 'o'")
-    total = fresh.count()
-    if not total:
+    nodes = cut(fresh.groupBy("component", "node").agg(F.count(F.lit(1)).alias("held")), "nodes")
+    most = nodes.agg(F.max("held")).first()[0]
+    if not most:
         return spark.createDataFrame([], MATCHED)
-    bounds = quantile_bounds(fresh, C("node"), -(-total // chunk))
     parts_path, matched_path, heads_path = (new_path(spark, label) for label in ("parts", "matched", "heads"))
-    numbered = fresh.select("component", "node", "key", "side", bucket_of(C("node"), bounds).alias("part"))
-    numbered.repartition("part").write.partitionBy("part").parquet(parts_path)
+    part = F.floor((C("rank") - 1) / max(1, chunk // most)).cast("int")
+    placed = rank_within(nodes.drop("held"), ["component"], ["node"], C("node")).select("component", "node", part.alias("part"))
+    numbered = fresh.join(shuffled(placed), ["component", "node"]).select("component", "node", "key", "side", "part")
+    numbered.repartition("part", "component").write.partitionBy("part").parquet(parts_path)
     stored = spark.read.schema(numbered.schema).parquet(parts_path)
     held = old.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
     ranked = rank_within(old.select("component", "node", "key"), ["key"], ["node"], C("node")).join(shuffled(held), "key")
@@ -285,20 +299,20 @@ def _match_in_chunks(rows: DataFrame, chunk: int) -> DataFrame:
     for path, columns in tables.items():
         spark.createDataFrame([], columns).write.parquet(path)
     so_far = lambda path: spark.read.schema(tables[path]).parquet(path)
-    for part in range(len(bounds) + 1):
-        left = stored.filter(C("part") == part).drop("part")
+    for number in range(stored.agg(F.max("part")).first()[0] + 1):
+        left = stored.filter(C("part") == number).drop("part")
         while not left.isEmpty():
             asked = left.groupBy("key").agg((F.count(F.lit(1)) * 2 + 16).alias("look"))
-            known = so_far(heads_path).join(F.broadcast(asked.select("key")), "key", "left_semi").groupBy("key").agg(F.max("head").alias("head"))
-            asked = cut(asked.join(known, "key", "left").select("key", "look", F.coalesce("head", F.lit(0)).alias("head")), "asked")
-            near = ranked.join(F.broadcast(asked), "key").filter("rank > head and rank <= head + look")
+            known = so_far(heads_path).groupBy("key").agg(F.max("head").alias("head"))
+            asked = asked.join(shuffled(known), "key", "left").select("key", "look", F.coalesce("head", F.lit(0)).alias("head"))
+            near = ranked.join(shuffled(cut(asked, "asked")), "key").filter("rank > head and rank <= head + look")
             near = cut(near.select("component", "node", "key", "rank", (C("held") > C("head") + C("look")).alias("rest")), "near")
-            gone = so_far(matched_path).select(C("old_ord").alias("node")).join(F.broadcast(near.select("node").distinct()), "node", "left_semi")
-            near = near.join(gone.withColumn("taken", F.lit(True)), "node", "left").withColumn("side", F.lit("o"))
+            gone = so_far(matched_path).select(C("old_ord").alias("node"), F.lit(True).alias("taken"))
+            near = near.join(shuffled(gone), "node", "left").withColumn("side", F.lit("o"))
             step = left.unionByName(near, allowMissingColumns=True).groupBy("component").applyInPandas(_greedy_step, STEP)
             step = cut(step, "step")
             step.filter("old_ord is not null").select("fresh_ord", "old_ord").write.mode("append").parquet(matched_path)
             step.filter("key is not null").select("key", "head").write.mode("append").parquet(heads_path)
             stops = step.filter("fresh_ord is not null and old_ord is null").select("component", C("fresh_ord").alias("stop"))
-            left = cut(left.join(F.broadcast(stops), "component").filter("node >= stop").drop("stop"), "left")
+            left = cut(left.join(shuffled(stops), "component").filter("node >= stop").drop("stop"), "left")
     return so_far(matched_path)
