@@ -32,6 +32,13 @@ POLICY_REASON = "Current official evidence no longer meets the publication bound
 # --- change labels --------------------------------------------------------------------------
 
 
+#: Columns that ``change_labels`` compares.
+COMPARED = (
+    "application_url", "opening_date", "deadline", "programme_start", "programme_end", "eligibility_status",
+    "eligibility_evidence", "location", "geographic_scope", "programme_type", "status",
+)
+
+
 def change_labels(prev: str, cur: str) -> Column:
     """Labels for a pair of record structs; ``prev`` NULL means first publication."""
     p, c = (lambda n: C(f"{prev}.{n}")), (lambda n: C(f"{cur}.{n}"))
@@ -67,9 +74,11 @@ def change_feed(previous: DataFrame, current: DataFrame, now: Column) -> DataFra
     matches = first_match(with_keys(current), old, "ord", "ord_old", "ord_old") if "ord_old" in old.columns else (
         first_match(with_keys(current), old.withColumn("ord_old", C("ord")), "ord", "ord_old", "ord_old")
     )
-    before = previous.select(C("ord").alias("match_id"), F.struct(*[C(n) for n in previous.columns]).alias("p"))
+    # What a note is made of; the other columns need not meet.
+    seen = ("id", "source_registry_id", "source_identifier", "canonical_url", *COMPARED)
+    before = previous.select(C("ord").alias("match_id"), F.struct("id", *COMPARED).alias("p"))
     pairs = (
-        current.select("ord", F.struct(*[C(n) for n in current.columns]).alias("c"))
+        current.select("ord", F.struct(*seen).alias("c"))
         .join(shuffled(matches.select("ord", "match_id")), "ord", "left")
         .join(shuffled(before), "match_id", "left")
     )
@@ -253,7 +262,7 @@ def next_possible(
     old: DataFrame, current: DataFrame, public: DataFrame, health: DataFrame, rules: RuleSet, now: Column
 ) -> DataFrame:
     """Possible tier after a scan: still valid unfetched rows plus current ones, never a public one."""
-    columns = current.columns
+    columns = [n for n in current.columns if n != "is_possible"]
     fresh = with_possible(current, rules).filter("is_possible").drop("is_possible")
     known = with_keys(old).withColumn("old_ord", C("ord"))
     seen = first_match(with_keys(fresh), known, "ord", "old_ord", "old_ord")
@@ -270,7 +279,7 @@ def next_possible(
 
 
 def next_review(old: DataFrame, current: DataFrame, health: DataFrame, rules: RuleSet) -> DataFrame:
-    columns = current.columns
+    columns = [n for n in current.columns if n != "is_possible"]
     fresh = with_possible(current, rules).filter(needs_review(C("is_possible"))).drop("is_possible")
     return resolve(renumber(_unreplaced(old, current, health).select(*columns), fresh.select(*columns)))
 
@@ -278,7 +287,8 @@ def next_review(old: DataFrame, current: DataFrame, health: DataFrame, rules: Ru
 def _unreplaced(old: DataFrame, current: DataFrame, health: DataFrame) -> DataFrame:
     clean = replaceable_sources(health).withColumnRenamed("source_id", "source_registry_id")
     left = old.join(clean, "source_registry_id", "left_anti")
-    return not_fetched_now(with_keys(left), with_keys(current), "ord").drop("keys")
+    found = not_fetched_now(with_keys(left), with_keys(current), "ord")
+    return found if "keys" in old.columns else found.drop("keys")
 
 
 # --- observations ---------------------------------------------------------------------------

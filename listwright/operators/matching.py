@@ -58,6 +58,9 @@ def lookup_keys() -> Column:
 
 
 def with_keys(records: DataFrame, keys: Column | None = None) -> DataFrame:
+    """Keys are costly to make: records that have them already stay as they are."""
+    if keys is None and "keys" in records.columns:
+        return records
     return records.withColumn("keys", lookup_keys() if keys is None else keys)
 
 

@@ -12,8 +12,8 @@ from listwright import schema
 from listwright.operators import health as H
 from listwright.operators import lifecycle as L
 from listwright.operators import serving
-from listwright.operators.classify import classify, is_public
-from listwright.operators.matching import minus_ids
+from listwright.operators.classify import classify, is_public, with_possible
+from listwright.operators.matching import minus_ids, with_keys
 from listwright.operators.ordered import apply_cap, dedupe_first, dedupe_last, rank_within
 from listwright.operators.resolve import resolve
 from listwright.rules.ruleset import RuleSet
@@ -103,6 +103,17 @@ def distinct_order(registry: DataFrame) -> DataFrame:
     return registry.withColumn("source_ord", number.cast(registry.schema["source_ord"].dataType))
 
 
+#: Rows that one task classifies.
+PART_ROWS = 10_000
+
+
+def spread_rows(raw: DataFrame, rows: int) -> DataFrame:
+    """Raw rows dealt to every core: their rules take long and their bytes are few, so that files and shuffles by size
+    make too few parts."""
+    parts = max(raw.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
+    return raw.repartition(parts, "source_id", "page_no", "position")
+
+
 def unique_rows(raw: DataFrame, registry: DataFrame) -> DataFrame:
     """Rows of each source without repeats, as its kind wants it; only query shards are cut at their cap."""
     order = F.struct("page_no", "position")
@@ -138,7 +149,8 @@ def run_scan(
     registry = H.active_sources(whole, list(available_settings))
     payloads = cut(in_order(payloads.join(registry.select(C("id").alias("source_id")), "source_id", "left_semi")), "payloads")
     raw = cut(extract.extract_all(payloads, registry), "raw")
-    failures = extract.structure_failures(payloads, raw, registry)
+    extracted = raw.count()
+    failures = cut(extract.structure_failures(payloads, raw, registry), "failures")
     sources = registry.join(failures.select(C("source_id").alias("id")), "id", "left_anti")
     raw = raw.join(failures.select("source_id"), "source_id", "left_anti")
     rolled = H.health_rollup(
@@ -150,19 +162,22 @@ def run_scan(
     )
     current = cut(H.reconcile_health(current, state.health, registry), "health")
 
-    unique = unique_rows(raw, registry)
+    unique = spread_rows(unique_rows(raw, registry), extracted)
     records = classify(unique, registry, dims.overrides, rules, now)
     records = records.drop("source_health_at_last_check").join(
         current.select(C("source_id").alias("source_registry_id"), C("status").alias("source_health_at_last_check")),
         "source_registry_id", "left",
     ).select(*records.columns)
-    records = cut(serving.restrict(records, category=category), "classified")
-    roles = cut(resolve(records), "resolved")
+    # Keys and tiers are costly: made once for each row and kept with it until the state is stored.
+    records = cut(with_keys(serving.restrict(records, category=category)), "classified")
+    tiered = cut(with_possible(resolve(records), rules), "resolved")
+    roles = tiered.drop("is_possible")
 
     old_public = L.renumber(state.open, state.recent)
-    old_all = cut(L.renumber(old_public, state.closed), "old")
+    old_all = cut(with_keys(L.renumber(old_public, state.closed)), "old")
     old_public = old_all.join(shuffled(state.closed.select("id")), "id", "left_anti")
-    notes = L.change_feed(L.renumber(old_all, state.possible), roles, now)
+    old_possible, old_review = (cut(with_keys(df), "old") for df in (state.possible, state.review))
+    notes = cut(L.change_feed(L.renumber(old_all, old_possible), roles, now), "notes")
     candidates = roles.filter(is_public(assume_open=True))
     judged = current.limit(0) if category else current
     processed, missing = L.lifecycle(old_all, candidates, judged, now)
@@ -174,10 +189,10 @@ def run_scan(
     closed_now = processed.filter(C("status") == "closed").unionByName(closing)
     if include_absence_closed:
         closed_now = closed_now.unionByName(missing)
-    closed = L.upsert_closed(state.closed, closed_now)
-    open_rows, recent = L.split_open_recent(public)
-    possible = cut(L.next_possible(state.possible, roles, public, current, rules, now), "possible")
-    review = cut(L.next_review(state.review, roles, current, rules), "review")
+    closed = L.upsert_closed(state.closed, closed_now.drop("keys"))
+    open_rows, recent = L.split_open_recent(public.drop("keys"))
+    possible = cut(L.next_possible(old_possible, tiered, public, current, rules, now).drop("keys"), "possible")
+    review = cut(L.next_review(old_review, tiered, current, rules).drop("keys"), "review")
     fresh_notes = (
         H.source_changes(current, registry, now).unionByName(notes).unionByName(L.removal_notes(missing, now))
     )
