@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from listwright.llm.links import components, links_between
+from listwright.llm.links import components, links_between, with_component
 from listwright.llm.storage import Scratch, small_batches
 from listwright.llm.words import common, fold, gram_hashes, mix
 from listwright.session import shuffled
@@ -31,7 +32,7 @@ class Settings:
     bands: int = 12
     rows: int = 3
 
-    @property
+    @cached_property
     def window(self) -> int:
         """Shingles of the run that two similar paragraphs of different shingles have in common at least.
 
@@ -125,6 +126,70 @@ def hashes_of(hashes: np.ndarray, s: Settings) -> np.ndarray:
     return gram_hashes(hashes, s.shingle)
 
 
+@dataclass
+class Joined:
+    """Texts hashed as one, so that short ones cost no calls of their own."""
+
+    raw: bytes
+    #: Bytes before each text.
+    bytes_before: np.ndarray
+    #: Words before each text, and all of them.
+    limits: np.ndarray
+    begin: np.ndarray
+    close: np.ndarray
+    hashes: np.ndarray
+    #: Shingle that begins at each word but the last few of a text, of those that have one.
+    shingles: np.ndarray
+    #: Whether it is at one of its text's ``chosen_places``; texts of fewer than ``words`` words have none.
+    chosen: np.ndarray
+
+
+def joined(texts: list[bytes], s: Settings, powers: tuple[Powers, Powers]) -> Joined:
+    raw = b" ".join(texts)
+    begin, close = word_spans(raw)
+    after = np.cumsum(np.array([len(x) + 1 for x in texts], dtype=np.int64))
+    limits = np.concatenate(([0], np.searchsorted(begin, after)))
+    hashes = word_hashes(raw, begin, close, *powers)
+    shingles, chosen = hashes_of(hashes, s), np.zeros(len(hashes), dtype=bool)
+    counts = np.diff(limits) - (s.shingle - 1)
+    counts[(np.diff(limits) < s.words) | (counts < s.window)] = 0
+    if counts.any():
+        # Shingles and runs of them that lie in one text.
+        left = np.concatenate(([0], np.cumsum(counts)))
+        at = np.arange(left[-1]) + np.repeat(limits[:-1] - left[:-1], counts)
+        end = np.repeat(left[1:], counts)
+        values = mix(shingles[at], 51)
+        none = np.iinfo(np.uint64).max
+        runs = len(values) - s.window + 1
+        least = np.where(np.arange(runs) + s.window <= end[:runs], ~sliding_min(values, s.window), none)
+        outside = np.full(s.window - 1, none, dtype=np.uint64)
+        greatest = ~sliding_min(np.concatenate((outside, least, outside)), s.window)
+        chosen[at[greatest == values]] = True
+    return Joined(raw, after - np.array([len(x) + 1 for x in texts], dtype=np.int64), limits, begin, close, hashes, shingles, chosen)
+
+
+def chosen_of(texts: list[bytes], s: Settings, powers: tuple[Powers, Powers]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of texts and hashes of their shingles at ``chosen_places``, each once a text."""
+    j = joined(texts, s, powers)
+    hit = np.flatnonzero(j.chosen)
+    text, found = np.searchsorted(j.limits, hit, side="right") - 1, j.shingles[hit]
+    order = np.lexsort((found, text))
+    text, found = text[order], found[order]
+    new = np.concatenate((np.ones(min(1, len(text)), dtype=bool), (text[1:] != text[:-1]) | (found[1:] != found[:-1])))
+    return text[new], found[new]
+
+
+def pieces(sizes: list[int], most: int = 1 << 18) -> list[tuple[int, int]]:
+    """Runs of neighbours of about ``most`` bytes; a longer text is one of its own."""
+    cuts, held = [0], 0
+    for k, size in enumerate(sizes):
+        if held and held + size > most:
+            cuts.append(k)
+            held = 0
+        held += size
+    return list(zip(cuts, [*cuts[1:], len(sizes)]))
+
+
 def content_places(hashes: np.ndarray, s: Settings) -> np.ndarray:
     """Words at which a text is cut whatever stands around the ``radius`` word pairs on either side."""
     size = 2 * s.radius + 1
@@ -222,6 +287,17 @@ def similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "items_a", "items_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def joined_components(found: DataFrame | None, more: DataFrame) -> DataFrame:
+    """``(node, component)`` of all nodes of ``found`` and of the links ``more (a, b)``: only components are joined anew."""
+    between = with_component(more, found).select(C("ca").alias("a"), C("cb").alias("b")).filter("a <> b")
+    top = components(between)
+    if found is None:
+        return top
+    renamed = found.join(shuffled(top.select(C("node").alias("component"), C("component").alias("least"))), "component", "left")
+    added = top.join(shuffled(found.select("node")), "node", "left_anti")
+    return renamed.select("node", F.coalesce("least", "component").alias("component")).unionByName(added.select("node", "component"))
+
+
 def linked(scratch: Scratch, bands: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame | None:
     """``(node, component)`` of all linked ``nodes (node, items, n, even, odd)``, or None when nothing is linked.
 
@@ -229,10 +305,10 @@ def linked(scratch: Scratch, bands: DataFrame, nodes: DataFrame, s: Settings) ->
     of one bucket that are in different ones meet then: those of small buckets each other, those of large ones by blocks.
     """
     marks = nodes.drop("items")
-    # Dealt out once: the buckets' least members and their rows come from the same shuffle.
-    bands = bands.repartition("key")
-    heads = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot <> other")
-    shared = scratch.keep(bands.join(shuffled(heads), "key").select("key", "node", "pivot"), "shared")
+    # Dealt out and sorted once: the first row of a bucket is its least member, the rows next to each show if it has others.
+    order = Window.partitionBy("key").orderBy("node")
+    placed = bands.select("key", "node", F.first("node").over(order).alias("pivot"), F.lead("node").over(order).alias("other"))
+    shared = scratch.keep(placed.filter("pivot <> node or other <> node").select("key", "node", "pivot"), "shared")
     star = shared.filter("node <> pivot").select(C("node").alias("a"), C("pivot").alias("b")).distinct()
     star = scratch.keep(near(star, marks, s.percent), "star")
     links = scratch.keep(similar(star, nodes, s.percent), "links")
@@ -265,7 +341,7 @@ def linked(scratch: Scratch, bands: DataFrame, nodes: DataFrame, s: Settings) ->
         more = more.unionByName(scratch.keep(blocks.select(*(F.conv(F.hex(x), 16, -10).cast("bigint").alias(x) for x in "ab")), "links"))
         small_batches(scratch.spark)
     if not more.isEmpty():
-        found = scratch.keep(components(links.unionByName(more)), "found")
+        found = scratch.keep(joined_components(found, more), "found")
     scratch.drop(star, members, pairs)
     return found
 
@@ -287,17 +363,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, settings: Settings =
     def sample(batches):
         powers = Powers(BASE), Powers(INVERSE)
         for batch in batches:
-            hashes, names = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = fold(text)
-                begin, close = word_spans(raw)
-                if len(begin) >= s.words:
-                    shingles = hashes_of(word_hashes(raw, begin, close, *powers), s)
-                    found = distinct(shingles[chosen_places(shingles, s)])
-                    hashes.append(found.view(np.int64))
-                    names.append(np.full(len(found), doc))
-            join = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(join(hashes)), pa.array(join(names))], ["hash", "doc"])
+            docs, texts = batch.column(0).to_numpy(), [fold(x) for x in batch.column(1).to_pylist()]
+            for low, high in pieces([len(x) for x in texts]):
+                at, found = chosen_of(texts[low:high], s, powers)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(docs[low:high][at])], ["hash", "doc"])
 
     chosen = scratch.keep(docs.select("doc", "text").mapInArrow(sample, "hash bigint, doc bigint"), "chosen")
     twice = chosen.groupBy("hash").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x <> y").select("hash")
@@ -308,13 +377,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, settings: Settings =
     def cut(batches):
         powers = Powers(BASE), Powers(INVERSE)
         for batch in batches:
-            rows = []
-            for doc, doc_id, text, repeated in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = fold(text)
-                begin, close = word_spans(raw)
-                hashes = word_hashes(raw, begin, close, *powers)
-                shingles = hashes_of(hashes, s)
-                at = chosen_places(shingles, s)
+            rows, texts = [], [fold(x) for x in batch.column(2).to_pylist()]
+            columns = [batch.column(k).to_pylist() for k in (0, 1, 3)]
+            parts = ((j, k - low, k) for low, high in pieces([len(x) for x in texts]) for j in (joined(texts[low:high], s, powers),) for k in range(low, high))
+            for j, own, k in parts:
+                doc, doc_id, repeated = (c[k] for c in columns)
+                raw, low, high = texts[k], j.limits[own], j.limits[own + 1]
+                begin, close = j.begin[low:high] - j.bytes_before[own], j.close[low:high] - j.bytes_before[own]
+                hashes, shingles = j.hashes[low:high], j.shingles[low : high - s.shingle + 1]
+                at = np.flatnonzero(j.chosen[low:high])
                 hit = np.zeros(len(hashes) + 1, dtype=np.int64)
                 hit[at[np.isin(shingles[at], np.array(repeated, dtype=np.int64).view(np.uint64))] + 1] = 1
                 sums = np.cumsum(hit)
